@@ -12,11 +12,18 @@ a distance of at most ``r``.
    shingle there is the pivot of all others that do; its region is every point
    it is pivot of by any shingle.  A point near several pivots is replicated to
    each, so both ends of a link always meet in one region.
-3. *Windows.*  In a region, points are sorted by their exact distance to the
+3. *Pivot vectors.*  Each set also has a vector of its shingles in ``CLASSES``
+   classes of the universe: up to constants, its distances to the class sets.
+   By the triangle inequality in each class, the sum of absolute differences of
+   two vectors is at most the size of the sets' symmetric difference.  Points
+   that cannot link to any other of their region by sizes and vectors leave it,
+   and a region falls into the parts that can still be connected; texts are
+   fetched for these parts alone.
+4. *Windows.*  In a region, points are sorted by their exact distance to the
    pivot.  Points whose distances differ by more than ``r`` cannot link; points
    within ``r`` of the pivot link to it and are one component at once; what is
    left is compared block by block inside the window, exactly.
-4. *Recursion.*  A region too large for one task is split into cells of points;
+5. *Recursion.*  A region too large for one task is split into cells of points;
    each pair of cells is a smaller region with a pivot and windows of its own.
 
 The order of shingles counts them in ``2 ** SKETCH_BITS`` classes over all
@@ -49,6 +56,7 @@ from trellis.llm.kernels import U, mix, pair, shingle_ids, word_ids
 SKETCH_BITS = 16
 #: Points of a region that one task joins; larger regions are split into cells.
 REGION = 1024
+CLASSES = 256
 _CELL = REGION // 2
 
 
@@ -99,7 +107,15 @@ def point_ids(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("point", pa.int64()), ("size", pa.int64())])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("point", pa.int64()), ("size", pa.int64()), ("sketch", pa.bool_()), ("vector", pa.binary())])
+
+
+def vectors(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The number of shingles of each set in each class, at most 255."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    count = np.bincount(owner * CLASSES + (ids & U(CLASSES - 1)).view(np.int64), minlength=len(ends) * CLASSES)
+    data = np.minimum(count, 255).astype(np.uint8).tobytes()
+    return [data[i : i + CLASSES] for i in range(0, len(data), CLASSES)]
 
 
 def _sets(n: int, bits: int):
@@ -111,16 +127,13 @@ def _sets(n: int, bits: int):
             for a, b, buf, off in text_chunks(batch):
                 ids, ends = sets_of(*spaced(buf, off), n)
                 sketch += np.bincount((ids >> U(64 - bits)).view(np.int64), minlength=1 << bits)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(point_ids(ids, ends)), pa.array(np.diff(ends, prepend=0)), pa.array(np.zeros(b - a, np.bool_))], schema=_SKETCHED)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(point_ids(ids, ends)), pa.array(np.diff(ends, prepend=0)), pa.array(np.zeros(b - a, np.bool_)), pa.array(vectors(ids, ends), pa.binary())], schema=_SKETCHED)
         at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int64)), pa.array(at), pa.array(sketch[at]), pa.array(np.ones(len(at), np.bool_))], schema=_SKETCHED)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int64)), pa.array(at), pa.array(sketch[at]), pa.array(np.ones(len(at), np.bool_)), pa.nulls(len(at), pa.binary())], schema=_SKETCHED)
 
     return run
 
 
-_SKETCHED = _SETS.append(pa.field("sketch", pa.bool_()))
-
-
 def needed(size: int, threshold: tuple[int, int]) -> int:
     """Shingles that a set of this size must have in common with a linked one."""
     a, b = threshold
@@ -175,6 +188,76 @@ def _pivots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_MEMBERS)
 
 
+def parts(size: np.ndarray, vector: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """A label for each point: equal where a chain of possible links connects two."""
+    a, b = threshold
+    m = len(size)
+    label = np.arange(m)
+    can = np.zeros((m, m), bool)
+    for i in range(m - 1):
+        total = size[i] + size[i + 1 :]
+        # |x ^ y| of linked sets is at most this; vectors differ by no more.
+        most = total - 2 * -(-a * total // (a + b))
+        can[i, i + 1 :] = np.abs(vector[i + 1 :] - vector[i]).sum(axis=1) <= most
+    can |= can.T
+    while True:
+        least = np.minimum(label, np.where(can, label, m).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _possible(threshold: tuple[int, int], region: int):
+    """Streams the points of each region with their vectors, and leaves those
+    that may link, under the least point of their part.  A region too large
+    for one task passes as it is."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, points, sizes, data = None, [], [], []
+        large = False
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def settle() -> None:
+            label = parts(np.array(sizes), np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1).astype(np.int16), threshold)
+            for k in np.flatnonzero(np.bincount(label) > 1):
+                own = np.flatnonzero(label == k)
+                least = min(points[i] for i in own)
+                for i in own:
+                    if points[i] != least:
+                        out[0].append(least)
+                        out[1].append(points[i])
+
+        for batch in batches:
+            vector = batch.column("vector")
+            for i, (p, point, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pivot", "point", "size")), strict=True)):
+                if p != now:
+                    if len(points) > 1 and not large:
+                        settle()
+                    now, points, sizes, data, large = p, [], [], [], False
+                if not large:
+                    points.append(point)
+                    sizes.append(size)
+                    data.append(vector[i].as_py())
+                    if len(points) > region:
+                        large = True
+                        out[0].extend([now] * len(points))
+                        out[1].extend(points)
+                        points = []
+                else:
+                    out[0].append(now)
+                    out[1].append(point)
+            if len(out[0]) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_MEMBERS)
+                out = ([], [])
+        if len(points) > 1 and not large:
+            settle()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_MEMBERS)
+
+    return run
+
+
 _CELLS = pa.schema([("cell", pa.string()), ("point", pa.int64()), ("pivot", pa.int64()), ("packed", pa.binary())])
 _TEXTS = pa.schema([("point", pa.int64()), ("kind", pa.int32()), ("pivot", pa.int64()), ("cells", pa.int32()), ("packed", pa.binary())])
 TEXTS = "point long, kind int, pivot long, cells int, packed binary"
@@ -357,7 +440,7 @@ def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     """(doc_id, n_shingles, component_id) of each document; ``threshold`` is a fraction."""
     spark = docs.sparkSession
     texts = only(docs)
-    scan = written(texts.mapInArrow(_sets(n, SKETCH_BITS), "doc_id long, point long, size long, sketch boolean"), "sets")
+    scan = written(texts.mapInArrow(_sets(n, SKETCH_BITS), "doc_id long, point long, size long, sketch boolean, vector binary"), "sets")
     points = scan.where("not sketch").select("doc_id", "point", "size")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for k, c in scan.where("sketch").groupBy("point").agg(F.sum("size")).collect():  # one row for each class at most
@@ -366,6 +449,10 @@ def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     prefixes = texts.select("text").mapInArrow(_prefixes(n, SKETCH_BITS, threshold, sketch), "shingle long, point long")
     members = prefixes.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(_pivots, "pivot long, point long").distinct()
     members = written(members, "members")
+    known = scan.where("not sketch").groupBy("point").agg(F.min("size").alias("size"), F.min("vector").alias("vector"))
+    near = members.unionByName(members.select("pivot", F.col("pivot").alias("point")).distinct()).join(known, "point").select("pivot", "point", "size", "vector")
+    possible = near.repartition("pivot").sortWithinPartitions("pivot", "point").mapInArrow(_possible(threshold, region), "pivot long, point long")
+    members = written(possible.where("pivot != point").distinct(), "members")
     regions = members.groupBy("pivot").agg((F.count("*") + 1).alias("points")).select("pivot", F.when(F.col("points") <= region, 1).otherwise(F.ceil(F.col("points") / (region // 2))).cast("int").alias("cells"))
     placed = members.join(regions, "pivot").select("point", "pivot", "cells").unionByName(regions.select(F.col("pivot").alias("point"), "pivot", "cells"))
     marks = placed.select("point", F.lit(1).alias("kind"), "pivot", "cells", F.lit(None).cast("binary").alias("packed"))

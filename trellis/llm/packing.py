@@ -7,7 +7,7 @@ shuffle and memory is bounded by a block and its longest document.  In a block,
 full-length cuts of long documents are sequences of their own; the remainders
 go, longest first, to the sequence of lowest cost that has room.  A remainder
 that fits nowhere whole waits, and is then cut over the room that is left, so
-a block pads its last sequence at most.
+all padding of a block together is less than one sequence.
 
 Defined results: a null text is empty and has the end id alone; repeated rows
 are packed one by one; ties of length keep the order of rows; extra columns are

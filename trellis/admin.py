@@ -55,6 +55,7 @@ class GraphEntry:
     catalog: Catalog = field(default_factory=Catalog)
     graph: Graph | None = None
     components: DataFrame | None = None
+    cheapest: tuple[DataFrame, int] | None = None
     edge_types: list[str] = field(default_factory=list)
     node_count: int = 0
     edge_count: int = 0
@@ -74,12 +75,12 @@ class GraphEntry:
         self.needs_rebuild, self.updated = True, now()
 
     def touched(self) -> None:
-        self.stale, self.components = self.graph is not None, None
+        self.stale, self.components, self.cheapest = self.graph is not None, None, None
 
     def built(self, graph: Graph, types: list[str], ms: float) -> None:
         self.graph, self.edge_types, self.build_ms = graph, types, ms
         self.needs_rebuild = self.stale = False
-        self.components, self.last_build, self.pending_edges = None, now(), 0
+        self.components, self.cheapest, self.last_build, self.pending_edges = None, None, now(), 0
 
     def row(self) -> tuple:
         return (self.id, self.name, self.owner, self.owner, self.tenant, self.namespace, self.kind, self.residency, self.materialization, self.projection_mode, self.created, self.updated)

@@ -61,7 +61,7 @@ def raw_edges(catalog: Catalog, sources: dict[str, Source], edge: EdgeMapping, m
         key = key_text(catalog.tables[edge.from_table].id_columns)
         src, dst, prefer = key, F.col(edge.from_column).cast("string"), edge.from_table
     else:
-        key = key_text(source.primary_key) if source.primary_key else F.to_json(F.struct(*df.columns))
+        key = key_text(source.primary_key) if source.primary_key else F.xxhash64(*df.columns).cast("string")
         src, dst = F.col(edge.from_column).cast("string"), F.col(edge.to_column).cast("string")
         prefer = catalog.source_label(edge, sources)
     out = df.select(

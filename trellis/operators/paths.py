@@ -19,37 +19,42 @@ def shortest_path(roots: DataFrame, steps: DataFrame, target: tuple[str, str], m
     return [(p.table, p.id, e) for p, e in zip(found.path, [None, *found.edge_path], strict=True)]
 
 
-def cheapest_path(roots: DataFrame, steps: DataFrame, target: tuple[str, str]) -> list[tuple[str, str, str | None, int]]:
+def cheapest_steps(steps: DataFrame) -> tuple[DataFrame, int]:
+    """The cheapest edge between each two nodes, cached, and the mean weight."""
+    out = steps.groupBy("src_label", "src_id", "dst_ord", "dst_label", "dst_id").agg(F.min(F.struct("weight", "type")).alias("e")).select("src_label", "src_id", "dst_ord", "dst_label", "dst_id", "e.weight", "e.type").persist()
+    return out, int(out.agg(F.coalesce(F.avg("weight"), F.lit(1.0))).head()[0]) + 1
+
+
+def cheapest_path(roots: DataFrame, cheapest: DataFrame, width: int, target: tuple[str, str]) -> list[tuple[str, str, str | None, int]]:
     """(table, id, edge label, edge weight) of a path of least total weight.
 
-    Relaxes the frontier of improved nodes until none improves; weights are
-    positive, and nodes that cost as much as the target already does are dropped."""
+    Nodes are expanded in bands of rising cost, one join a band and step, each
+    about as wide as a mean edge; a node that improves opens again.  It ends
+    when no open node costs less than the target does."""
     levels = Levels("cheapest")
     keys = ["node_table", "node_id"]
-    cheapest = steps.groupBy("src_label", "src_id", "dst_ord", "dst_label", "dst_id").agg(F.min(F.struct("weight", "type")).alias("e")).select("src_label", "src_id", "dst_ord", "dst_label", "dst_id", "e.weight", "e.type")
-    best = roots.select(
+    start = roots.select(
         F.col("table").alias("node_table"), F.col("id").alias("node_id"), F.lit(0).cast("bigint").alias("cost"), F.array(F.struct("ord", "table", "id")).alias("path"),
-        F.array().cast("array<struct<type:string,weight:bigint>>").alias("edges"),
+        F.array().cast("array<struct<type:string,weight:bigint>>").alias("edges"), F.lit(True).alias("open"),
     )
-    best, n = levels.keep(best)
-    frontier, bound = best, None
+    best, _ = levels.keep(start)
     hit = (F.col("node_table") == target[0]) & (F.col("node_id") == target[1])
-    while n:
-        hop = frontier.join(cheapest, (F.col("node_table") == F.col("src_label")) & (F.col("node_id") == F.col("src_id"))).select(
+    while True:
+        low, bound = best.agg(F.min(F.when(F.col("open"), F.col("cost"))), F.min(F.when(hit, F.col("cost")))).head()
+        if low is None or (bound is not None and low >= bound):
+            break
+        band = F.col("open") & (F.col("cost") <= low + width)
+        hop = best.where(band).join(cheapest, (F.col("node_table") == F.col("src_label")) & (F.col("node_id") == F.col("src_id"))).select(
             F.col("dst_label").alias("node_table"), F.col("dst_id").alias("node_id"), (F.col("cost") + F.col("weight")).alias("cost"),
             F.concat("path", F.array(F.struct(F.col("dst_ord").alias("ord"), F.col("dst_label").alias("table"), F.col("dst_id").alias("id")))).alias("path"),
-            F.concat("edges", F.array(F.struct("type", "weight"))).alias("edges"),
+            F.concat("edges", F.array(F.struct("type", "weight"))).alias("edges"), F.lit(True).alias("open"),
         )
         if bound is not None:
             hop = hop.where(F.col("cost") < bound)
-        near = hop.groupBy(*keys).agg(F.min(F.struct("cost", "path", "edges")).alias("x")).select(*keys, "x.cost", "x.path", "x.edges")
-        old = best.select(*keys, F.col("cost").alias("old"))
-        better = near.join(old, keys, "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old")
-        frontier, n = levels.keep(better)
-        if n:
-            best, _ = levels.keep(best.join(frontier.select(*keys), keys, "left_anti").unionByName(frontier))
-            if (found := best.where(hit).select("cost").head()) is not None:
-                bound = found.cost
+        # Of a node's old entry, closed if it was in the band, and its new ones, the cheapest stays.
+        old = best.withColumn("open", F.col("open") & ~band)
+        row = F.struct("cost", F.col("open").alias("open"), "path", "edges")
+        best, _ = levels.keep(old.unionByName(hop).groupBy(*keys).agg(F.min(row).alias("x")).select(*keys, "x.cost", "x.path", "x.edges", "x.open"))
     found = best.where(hit).select("path", "edges").head()
     if found is None:
         return []

@@ -33,7 +33,7 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     raise GraphError("semantic", f"unknown direction {direction}")
 
 
-def adjacency(edges: DataFrame, nodes: DataFrame, direction: str, types: list[str] | None, allowed: DataFrame | None, tenanted: list[str], tenant: str | None) -> DataFrame:
+def adjacency(edges: DataFrame, nodes: DataFrame, direction: str, types: list[str] | None, allowed: DataFrame | None, tenanted: list[str], tenant: str | None, ordinals: dict[str, int]) -> DataFrame:
     """Steps that a traversal may take: (src_label, src_id, dst_ord, dst_label, dst_id, type)."""
     steps = oriented(edges, direction)
     if types is not None:
@@ -46,8 +46,7 @@ def adjacency(edges: DataFrame, nodes: DataFrame, direction: str, types: list[st
         targets = targets.where(~F.col("dst_label").isin(tenanted) | (F.col("tenant") == tenant))
     if filtered:
         return steps.join(targets.select("dst_label", "dst_id", "dst_ord"), ["dst_label", "dst_id"])
-    ords = {r.label: r.ord for r in nodes.select("label", "ord").distinct().collect()}  # one for each table
-    table = F.create_map(*[F.lit(x) for pair in ords.items() for x in pair]) if ords else F.lit(None)
+    table = F.create_map(*[F.lit(x) for pair in ordinals.items() for x in pair])
     return steps.withColumn("dst_ord", table[F.col("dst_label")])
 
 
@@ -57,7 +56,6 @@ def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int, max_
 
     Only the neighbour is checked, so roots may fail every filter."""
     keys = ["root_table", "root_id", "node_table", "node_id"]
-    spark = roots.sparkSession
     start = roots.select(
         F.col("table").alias("root_table"), F.col("id").alias("root_id"), F.col("table").alias("node_table"), F.col("id").alias("node_id"),
         F.lit(0).alias("depth"), F.array(F.struct("ord", "table", "id")).alias("path"), F.array().cast("array<string>").alias("edge_path"),
@@ -95,7 +93,6 @@ def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int, max_
     if seen >= max_nodes:
         per_root = reached.groupBy("root_table", "root_id").count().where(F.col("count") >= max_nodes)
         capped = capped or not per_root.isEmpty()
-    assert spark is not None
     return reached, capped
 
 

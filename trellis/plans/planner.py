@@ -187,7 +187,7 @@ class Planner:
             f_key, f_type = self.key(f, f_label)
             edge = self.sources[e.from_table]
             key_cols = edge.primary_key or tuple(edge.df.columns)
-            own = key_text(key_cols) if edge.primary_key else F.to_json(F.struct(*key_cols))
+            own = key_text(key_cols) if edge.primary_key else F.xxhash64(*key_cols).cast("string")
             rows = edge.df.where(F.col(e.from_column).isNotNull() & F.col(e.to_column).isNotNull()).select(*(F.col(c).alias(f"{r}__{c}") for c in edge.df.columns), own.alias(f"{r}__key_"))
             on_f = self.same(f"{r}__{e.from_column}", types[e.from_column].dataType, f_key, f_type)
             on_t = self.same(f"{r}__{e.to_column}", types[e.to_column].dataType, t_key, t_type)
@@ -369,12 +369,11 @@ class Planner:
                     out = ends if out is None else out.unionByName(ends)
             df = out.withColumn("_marks", F.concat("_marks", F.array(F.size("_nodes") - 1)))
         if self.tenant is not None:
-            raise_on = None  # every node of a path must be visible
+            # every node of a path must be visible
             ok = nodes.select(F.struct(F.col("label").alias("table"), "id").alias("_ok"))
             df = df.withColumn("_w", F.monotonically_increasing_id())
             bad = df.select("_w", F.explode("_nodes").alias("_ok")).join(ok, "_ok", "left_anti").select("_w").distinct()
             df = df.join(bad, "_w", "left_anti").drop("_w")
-            assert raise_on is None
         df = df.withColumn("_canon", F.transform("_rels", lambda x: F.struct(x["_start"], x["_end"], x["_type"], x["_mapping"], x["_key"]))).dropDuplicates(["_canon"]).drop("_canon")
         scope: Scope = {}
         for k, n in enumerate(p.nodes):
@@ -646,7 +645,7 @@ class Planner:
             c = c.cast("double")
             if i.name == "sum":
                 return F.sum_distinct(c) if i.distinct else F.sum(c)
-            return F.expr("avg(distinct x)") if False else (F.sum_distinct(c) / F.countDistinct(c) if i.distinct else F.avg(c))
+            return F.sum_distinct(c) / F.countDistinct(c) if i.distinct else F.avg(c)
         if i.name in ("min", "max"):
             return (F.min if i.name == "min" else F.max)(c)
         return F.sort_array(F.collect_set(c) if i.distinct else F.collect_list(c))
@@ -661,7 +660,7 @@ class Planner:
         values: dict[str, Column] = {}
         carried: list[str] = []
         for i in w.items:
-            name = i.label if i.alias or i.kind == "var" else i.label
+            name = i.label
             if name in new:
                 raise GraphError("semantic", f"WITH names {name} twice")
             if i.kind == "var" and i.name in scope and scope[i.name].kind != "value":

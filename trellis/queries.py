@@ -415,8 +415,8 @@ OTHERS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("node", node, "SELECT 'customer' AS node_table, CAST(c_custkey AS VARCHAR) AS node_id FROM customer WHERE c_custkey = 17"),
     *((f"search_{mode}", _search(mode, value, sensitive), f"SELECT 'part' AS node_table, CAST(p_partkey AS VARCHAR) AS node_id, '{mode}' AS match_type FROM part WHERE {where}")
       for mode, value, sensitive, where in (
-          ("contains", "RT_1", False, "contains(lower(p_name), 'rt_1')"), ("exact", "part_77", False, "lower(p_name) = 'part_77'"),
-          ("prefix", "part_9", False, "starts_with(lower(p_name), 'part_9')"), ("token", "12", False, "regexp_matches(lower(p_name), '(^|[^a-z0-9])12($|[^a-z0-9])')"))),
+          ("contains", "L GI", False, "contains(lower(p_name), 'l gi')"), ("exact", "Blue Bolt", False, "lower(p_name) = 'blue bolt'"),
+          ("prefix", "red w", True, "starts_with(p_name, 'red w')"), ("token", "gear hot", False, "regexp_matches(lower(p_name), '(^|[^a-z0-9])gear($|[^a-z0-9])') AND regexp_matches(lower(p_name), '(^|[^a-z0-9])hot($|[^a-z0-9])')"))),
     ("hydrated_search", hydrated_search, "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier') ORDER BY node_id LIMIT 50"),
     ("shortest_path", shortest_path, """
      WITH x AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5)

@@ -275,7 +275,7 @@ class Session(Admin):
                     raise GraphError("semantic", f"unknown edge type {t}")
         allowed = fl.allowed_nodes(pushed, catalog, self.sources, g.nodes)
         tenanted = [t.name for t in catalog.tables.values() if t.tenant_column]
-        return trv.adjacency(g.edges, g.nodes, direction, edge_types, allowed, tenanted, tenant or self.settings.tenant)
+        return trv.adjacency(g.edges, g.nodes, direction, edge_types, allowed, tenanted, tenant or self.settings.tenant, {t: catalog.ordinal(t) for t in catalog.tables})
 
     def traverse(
         self, seed_table: str | list[str], seed_id: str | list[str], max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any",
@@ -375,9 +375,10 @@ class Session(Admin):
         if self.current.pending_edges:
             raise GraphError("unsupported_operation", "weighted paths need a graph without pending edge changes")
         if g.weighted:
-            steps = trv.oriented(g.edges, "out").join(g.nodes.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"), F.col("ord").alias("dst_ord")), ["dst_label", "dst_id"])
+            if self.current.cheapest is None:
+                self.current.cheapest = pth.cheapest_steps(self._steps("out", None, [], None))
             total = 0
-            for k, (t, i, e, w) in enumerate(pth.cheapest_path(roots, steps, (target_table, str(target_id)))):
+            for k, (t, i, e, w) in enumerate(pth.cheapest_path(roots, *self.current.cheapest, (target_table, str(target_id)))):
                 total += w
                 rows.append((k, t, t, i, e, w if k else None, w, total))
         return self.rows(rows, "step int, node_table string, node_table_name string, node_id string, edge_label string, edge_weight long, step_cost long, total_cost long")

@@ -115,13 +115,12 @@ class Store:
             edges = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.folder}/{m.base}/edges")
         except Exception as e:
             raise GraphError("corrupt_file", f"generation {m.generation} can't be read") from e
-        for k, s in enumerate(m.segments):
+        for s in m.segments:
             dn = self.spark.read.schema(f"op string, {NODE_SCHEMA}").parquet(f"{self.folder}/{s['name']}/nodes")
             de = self.spark.read.schema(f"op string, {EDGE_SCHEMA}").parquet(f"{self.folder}/{s['name']}/edges")
             nodes = nodes.join(dn.select("label", "id").distinct(), ["label", "id"], "left_anti").unionByName(dn.where("op = 'I'").drop("op"))
             key = ["mapping_id", "source_key"]
             edges = edges.join(de.select(*key).distinct(), key, "left_anti").unionByName(de.where("op = 'I'").drop("op"))
-            assert k >= 0
         return Graph(nodes, edges, m.has_unidirectional, m.weighted)
 
     def compact(self, m: Manifest) -> Manifest:

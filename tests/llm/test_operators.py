@@ -97,12 +97,9 @@ def test_frequent_buckets_are_settled_in_parts(spark):
     rnd = random.Random(2)
     rows = [(i, "".join(rnd.choice("pqrst") for _ in range(90)) + line + "".join(rnd.choice("uvwxy") for _ in range(90))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    old = suffix._HOLD
-    suffix._HOLD = 50
-    try:
-        assert got(suffix.removal_digests(df, group=40)) == brute.removed(rows, 200)
-    finally:
-        suffix._HOLD = old
+    assert got(suffix.removal_digests(df, group=40, hold=50)) == brute.removed(rows, 200)
+    copies = rows[:5] * 60
+    assert got(suffix.removal_digests(spark.createDataFrame(copies, "doc_id long, text string").repartition(7), hold=3)) == brute.removed(copies, 200)
 
 
 def test_cut_keeps_characters_and_columns(odd):

@@ -13,12 +13,16 @@ here only suffixes that can still meet a partner are kept, bucket by bucket:
    offsets, never from bytes again (``id(2d, i) = (id(d, i), id(d, i + d))``);
    the pair at a block's first and last start refines the bucket.  Blocks that
    stay together are repeats as a whole, which settles the inside of all long
-   repeats; buckets of one suffix, and those without a block left alone, end here.
-3. *Refinement by offsets.*  The rest lie at the edges of repeats.  One block of
-   each refined bucket and each lone block send their bytes to their q-gram
-   bucket, which is sorted by the identifiers at full depth of each offset from
-   the anchor.  Buckets too large for one task send offsets as rows of their
-   own, which are counted with partial sums and joined back.
+   repeats.  A chunk settles the blocks that it holds twice or more by itself
+   and sends one of them on, so copies do not fill a bucket.
+3. *Open buckets.*  One block of each refined bucket counts for its q-gram
+   bucket, by partial sums.  Buckets of one block, and those without a block
+   that stands alone, end here.
+4. *Refinement by offsets.*  The rest lie at the edges of repeats.  Open blocks
+   send their bytes to their q-gram bucket, which is sorted by the identifiers
+   at full depth of each offset from the anchor.  In buckets too wide for one
+   task, such as a line in many contexts, each offset becomes a row of its own;
+   these are counted with partial sums and joined back.
 
 Equality is that of 64-bit identifiers within a 64-bit q-gram bucket.
 
@@ -47,15 +51,19 @@ from trellis.llm.kernels import CHUNK_BYTES, U, gram_ids, pair, sliding_min, spa
 
 LENGTH = 200
 GRAM = 48
-#: Blocks of a bucket that one task refines; beyond it, offsets become rows.
+#: Blocks of a bucket that one task sorts; of wider buckets, offsets become rows.
 GROUP = 4096
-_HOLD = 400_000
+_SORT = 4096
+#: Blocks of one refined bucket that are held at a time.
+HOLD = 400_000
+#: Marks of a stored block beside its row's tag: one of several, or settled.
+ONE_OF, SETTLED = 1 << 14, 2 << 14
 _PLACE = U(20)
 
 
 def _key(docs: DataFrame) -> DataFrame:
     """doc_id, text and the two columns that stand for a row: key and tag."""
-    return only(docs).select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.expr("hash(text) & 65535").cast("long").alias("tag"))
+    return only(docs).select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.expr("hash(text) & 16383").cast("long").alias("tag"))
 
 
 def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -99,75 +107,71 @@ def _blocks(length: int, gram: int):
                     doc = doc + a
                     # first start, starts beyond it, anchor after it, tag
                     place = lo << 32 | more << 24 | anchor << 16 | tag[doc]
+                    order = np.lexsort((block, ids))
+                    same = np.concatenate(([False], (ids[order][1:] == ids[order][:-1]) & (block[order][1:] == block[order][:-1])))
+                    place[order[same]] |= SETTLED
+                    first = np.flatnonzero(~same & np.append(same[1:], False))
+                    place[order[first]] |= ONE_OF
+                    settled = order[same]
+                    ids[settled] = pair(place[settled].view(U), key[doc[settled]].view(U))  # anywhere: they meet no bucket
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.view(np.int64), block.view(np.int64), key[doc], place)], schema=_BLOCKS)
 
     return run
 
 
-KNOWN, LONE, SHARED = 1, 2, 3
+KNOWN, LONE, SHARED, WIDE = 1, 2, 3, 8
 _MARKS = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("kind", pa.int32())])
 
 
-def refine(rows: list[np.ndarray], mixed: bool, again: bool) -> list[np.ndarray]:
-    """Marks of whole buckets, sorted by gram and block: all blocks of refined
-    buckets of two or more, and, where a bucket also has lone blocks, one block
-    of each refined bucket.  ``mixed``: of a bucket seen in part, take all
-    refined buckets; ``again``: the first has been seen before."""
-    gram, block, key, place = rows
+def refine(gram: np.ndarray, block: np.ndarray, key: np.ndarray, place: np.ndarray, before: tuple[int, int] | None) -> list[np.ndarray]:
+    """Marks of sorted blocks: all blocks of refined buckets of two or more, and
+    one block of each refined bucket.  ``before`` is the bucket that has been
+    seen already; its blocks are repeats and it needs no other representative."""
     head = np.concatenate(([True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))
     first = np.flatnonzero(head)
-    many = np.diff(np.append(first, len(gram))) >= 2
-    if again:
+    many = (np.diff(np.append(first, len(gram))) >= 2) | np.logical_or.reduceat(place & ONE_OF != 0, first)
+    kind = np.where(many, SHARED, LONE)
+    if before == (int(gram[0]), int(block[0])):
         many[0] = True
-    known = many[np.cumsum(head) - 1]
-    top = np.concatenate(([True], gram[first][1:] != gram[first][:-1]))
-    bucket = np.cumsum(top) - 1
-    refined, lone = np.bincount(bucket), np.bincount(bucket, ~many)
-    open_ = ((refined >= 2) & (lone >= 1) | mixed)[bucket]
-    todo, kind = first[open_], np.where(many[open_], SHARED, LONE)
-    at = np.concatenate((np.flatnonzero(known), todo))
-    return [key[at], place[at], gram[at], np.concatenate((np.full(known.sum(), KNOWN), kind)).astype(np.int32)]
+        first, kind = first[1:], kind[1:]
+    known = np.flatnonzero(many[np.cumsum(head) - 1])
+    at = np.concatenate((known, first))
+    return [key[at], place[at], gram[at], np.concatenate((np.full(len(known), KNOWN), kind)).astype(np.int32)]
 
 
-def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] | None = None
-    partial = again = False
-
-    def out(rows: list[np.ndarray], mixed: bool, again: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in refine(rows, mixed, again)], schema=_MARKS)
-
-    for batch in batches:
-        rows = [batch.column(c).to_numpy() for c in ("gram", "block", "key", "place")]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        gram, block = rows[:2]
-        if not len(gram):
-            continue
-        start = int(np.searchsorted(gram, gram[-1]))
-        if start:
-            ends = int(np.searchsorted(gram, gram[0], "right")) if partial else 0
-            if ends:  # the rest of the bucket seen in part
-                yield out([x[:ends] for x in rows], True, again)
-            if start > ends:
-                yield out([x[ends:start] for x in rows], False, False)
-            held, partial, again = [x[start:] for x in rows], False, False
-        else:
-            held = rows
-        if len(held[0]) > _HOLD:
-            # One bucket: settle its refined buckets but the last one, which may go on.
-            cut = int(np.searchsorted(held[1], held[1][-1]))
+def _refine(hold: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds the last refined bucket until it ends; of a long one, a part at a time."""
+        held: list[np.ndarray] | None = None
+        before: tuple[int, int] | None = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("gram", "block", "key", "place")]
+            done = rows[3] & SETTLED != 0
+            if done.any():
+                key, place, gram = (rows[k][done] for k in (2, 3, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(gram), pa.array(np.full(len(key), KNOWN, np.int32))], schema=_MARKS)
+                rows = [x[~done] for x in rows]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            gram, block = rows[:2]
+            if not len(gram):
+                continue
+            last = np.flatnonzero((gram != gram[-1]) | (block != block[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if not cut and len(gram) > hold:
+                cut = len(gram)  # one bucket: it is refined, for it has two blocks
+                place = rows[3] | ONE_OF
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in refine(gram, block, rows[2], place, before)], schema=_MARKS)
+                before, held = (int(gram[0]), int(block[0])), None
+                continue
             if cut:
-                yield out([x[:cut] for x in held], True, again)
-                held, partial, again = [x[cut:] for x in held], True, False
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(held[2][1:]), pa.array(held[3][1:]), pa.array(held[0][1:]), pa.array(np.full(len(held[0]) - 1, KNOWN, np.int32))], schema=_MARKS)
-                held, partial, again = [x[:1] for x in held], True, True
-    if held is not None and len(held[0]):
-        ends = int(np.searchsorted(held[0], held[0][0], "right")) if partial else 0
-        if ends:
-            yield out([x[:ends] for x in held], True, again)
-        if ends < len(held[0]):
-            yield out([x[ends:] for x in held], False, False)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in refine(*(x[:cut] for x in rows), before)], schema=_MARKS)
+                before = None
+            held = [x[cut:] for x in rows]
+        if held is not None and len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in refine(*held, before)], schema=_MARKS)
+
+    return run
 
 
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tag", pa.int64()), ("kind", pa.int32()), ("place", pa.int64()), ("gram", pa.int64()), ("packed", pa.binary())])
@@ -186,7 +190,7 @@ def _compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows of texts (kind 0) and their marks, together and in this order."""
     texts = _key(docs).mapInArrow(_compress, TEXTS)
-    marks = marks.select(F.lit(None).cast("long").alias("doc_id"), "key", F.expr("place & 65535").alias("tag"), "kind", "place", "gram", F.lit(None).cast("binary").alias("packed"))
+    marks = marks.select(F.lit(None).cast("long").alias("doc_id"), "key", F.expr("place & 16383").alias("tag"), "kind", "place", "gram", F.lit(None).cast("binary").alias("packed"))
     return texts.unionByName(marks).repartition("key", "tag").sortWithinPartitions("key", "tag", "kind")
 
 
@@ -226,28 +230,46 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int | N
         yield done()
 
 
-_CONTEXTS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("bytes", pa.binary())])
+_CONTEXTS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("deep", pa.int64()), ("bytes", pa.binary())])
+CONTEXTS = "gram long, key long, place long, kind int, deep long, bytes binary"
 
 
 def _contexts(length: int):
+    """The bytes of each open block; of those in wide buckets, their offsets."""
+
+    def spread(rows: list[tuple]) -> pa.RecordBatch:
+        gram, key, place, kind, data = zip(*rows, strict=True)
+        gram, key, place, kind = (np.array(x, np.int64) for x in (gram, key, place, kind))
+        row, nth, bucket, deep = offsets(gram, place, list(data), length)
+        marks = (place[row] >> 32) + nth << 32 | place[row] & 16383
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(key[row]), pa.array(marks), pa.array((kind[row] | WIDE).astype(np.int32)), pa.array(deep.view(np.int64)), pa.nulls(len(row), pa.binary())], schema=_CONTEXTS)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        wide: list[tuple] = []
         for _, key, _, data, place, gram, kind in _documents(batches):
             for p, g, k in zip(place.tolist(), gram.tolist(), kind.tolist(), strict=True):
                 lo = p >> 32
-                rows.append((g, key, p, k, data[lo : lo + (p >> 24 & 255) + length]))
+                part = data[lo : lo + (p >> 24 & 255) + length]
+                if k & WIDE:
+                    wide.append((g, key, p, k & ~WIDE, part))
+                else:
+                    rows.append((g, key, p, k, 0, part))
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CONTEXTS.types, strict=True)], schema=_CONTEXTS)
                 rows = []
+            if len(wide) >= 2_000:
+                yield spread(wide)
+                wide = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CONTEXTS.types, strict=True)], schema=_CONTEXTS)
+        if wide:
+            yield spread(wide)
 
     return run
 
 
-SPAN, OFFSET = 1, 4
-_FOUND = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("deep", pa.int64()), ("weight", pa.int64())])
-FOUND = "key long, place long, kind int, bucket long, deep long, weight long"
+_FOUND = pa.schema([("key", pa.int64()), ("place", pa.int64())])
 
 
 def offsets(gram: np.ndarray, place: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -263,7 +285,7 @@ def offsets(gram: np.ndarray, place: np.ndarray, data: list[bytes], length: int)
     return row, nth, bucket, deep[off[row] + nth]
 
 
-def _sort_offsets(length: int, group: int):
+def _sort_offsets(length: int):
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         gram, key, place, kind, data = zip(*rows, strict=True)
         gram, key, place, kind = (np.array(x, np.int64) for x in (gram, key, place, kind))
@@ -281,60 +303,43 @@ def _sort_offsets(length: int, group: int):
         end = hit & np.concatenate((~hit[1:] | (row[1:] != row[:-1]), [True]))
         a, b = np.flatnonzero(start), np.flatnonzero(end)
         r = row[a]
-        zero = np.zeros(len(a), np.int64)
-        marks = (place[r] >> 32) + nth[a] << 32 | (b - a) << 24 | place[r] & 65535
-        return pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(marks), pa.array(np.full(len(a), SPAN, np.int32)), pa.array(zero), pa.array(zero), pa.array(zero)], schema=_FOUND)
-
-    def spread(rows: list[tuple]) -> pa.RecordBatch:
-        gram, key, place, kind, data = zip(*rows, strict=True)
-        gram, key, place, kind = (np.array(x, np.int64) for x in (gram, key, place, kind))
-        row, nth, bucket, deep = offsets(gram, place, list(data), length)
-        marks = (place[row] >> 32) + nth << 32 | place[row] & 65535
-        return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(marks), pa.array(np.full(len(row), OFFSET, np.int32)), pa.array(bucket.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(np.where(kind[row] == SHARED, 2, 1))], schema=_FOUND)
+        marks = (place[r] >> 32) + nth[a] << 32 | (b - a) << 24 | place[r] & 16383
+        return pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(marks)], schema=_FOUND)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams the blocks of buckets, each of bounded size, and sorts many buckets at once."""
         ready: list[tuple] = []
-        bucket: list[tuple] = []
-        gram, large = None, False
+        gram = None
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "key", "place", "kind", "bytes")), strict=True):
-                if r[0] != gram:
-                    if large and bucket:
-                        yield spread(bucket)
-                    elif bucket:
-                        ready += bucket
-                    if len(ready) >= group:
-                        yield settle(ready)
-                        ready = []
-                    gram, bucket, large = r[0], [], False
-                bucket.append(r)
-                if len(bucket) >= group:
-                    yield spread(bucket)
-                    bucket, large = [], True
-        if large and bucket:
-            yield spread(bucket)
-        elif bucket:
-            ready += bucket
+                if r[0] != gram and len(ready) >= _SORT:
+                    yield settle(ready)
+                    ready = []
+                gram = r[0]
+                ready.append(r)
         if ready:
             yield settle(ready)
 
     return run
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hold: int = HOLD) -> DataFrame:
     """(key, place, gram, kind) of every run of starts of repeated strings:
     ``place`` holds the first start (bits 32 and up), starts beyond it (bits
-    24-31) and the row's tag (bits 0-15)."""
+    24-31) and the row's tag (bits 0-13)."""
     stored = _key(docs).select("key", "tag", "text").mapInArrow(_blocks(length, gram), "gram long, block long, key long, place long")
-    dealt = stored.repartition("gram").sortWithinPartitions("gram", "block")
-    marks = written(dealt.mapInArrow(_refine, "key long, place long, gram long, kind int"), "suffix-marks")
-    todo = _with_texts(docs, marks.where(f"kind != {KNOWN}"))
-    contexts = todo.mapInArrow(_contexts(length), "gram long, key long, place long, kind int, bytes binary")
-    found = written(contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_offsets(length, group), FOUND), "suffix-offsets")
-    spread = found.where(f"kind = {OFFSET}")
-    shared = spread.groupBy("bucket", "deep").agg(F.sum("weight").alias("n")).where("n >= 2").select("bucket", "deep")
-    far = spread.where("weight = 1").join(shared, ["bucket", "deep"]).select("key", "place")
-    near = found.where(f"kind = {SPAN}").select("key", "place")
+    dealt = stored.repartition("gram", "block").sortWithinPartitions("gram", "block")
+    marks = written(dealt.mapInArrow(_refine(hold), "key long, place long, gram long, kind int"), "suffix-marks")
+    one_each = marks.where(f"kind != {KNOWN}")
+    buckets = one_each.groupBy("gram").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == LONE).alias("lone")).where("blocks >= 2 and lone >= 1")
+    buckets = written(buckets.select("gram", F.when(F.col("blocks") > group, WIDE).otherwise(0).alias("wide")), "suffix-buckets")
+    open_ = one_each.join(buckets, "gram").select("key", "place", "gram", F.expr("int(kind | wide)").alias("kind"))
+    found = written(_with_texts(docs, open_).mapInArrow(_contexts(length), CONTEXTS), "suffix-contexts")
+    narrow = found.where(f"kind & {WIDE} = 0").select("gram", "key", "place", "kind", "bytes")
+    near = narrow.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_offsets(length), "key long, place long")
+    spread = found.where(f"kind & {WIDE} != 0").select("gram", "deep", "key", "place", F.expr(f"if(kind & {SHARED} = {SHARED}, 2, 1)").alias("weight"))
+    shared = spread.groupBy("gram", "deep").agg(F.sum("weight").alias("n")).where("n >= 2").select("gram", "deep")
+    far = spread.where("weight = 1").join(shared, ["gram", "deep"]).select("key", "place")
     return marks.where(f"kind = {KNOWN}").select("key", "place").unionByName(near).unionByName(far).select("key", "place", F.lit(0).cast("long").alias("gram"), F.lit(KNOWN).alias("kind"))
 
 
@@ -374,9 +379,9 @@ def _digests(length: int):
     return run
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hold: int = HOLD) -> DataFrame:
     """Size, removed bytes, removed runs and a digest of what is kept, of each document."""
-    return _with_texts(docs, repeated_starts(docs, length, gram, group)).mapInArrow(_digests(length), DIGESTS)
+    return _with_texts(docs, repeated_starts(docs, length, gram, group, hold)).mapInArrow(_digests(length), DIGESTS)
 
 
 def cut(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
@@ -404,13 +409,13 @@ def _cut_all(length: int):
     return run
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hold: int = HOLD) -> DataFrame:
     """The documents without their repeated bytes, all columns kept;
     ``n_chars``, where there is one, follows the new text."""
-    starts = repeated_starts(docs, length, gram, group).select("key", F.expr("place & 65535").alias("tag"), "place")
+    starts = repeated_starts(docs, length, gram, group, hold).select("key", F.expr("place & 16383").alias("tag"), "place")
     # Of a document, at most one place for each of its bytes.
     runs = starts.distinct().groupBy("key", "tag").agg(F.collect_list("place").alias("repeated_starts_"))
-    keyed = docs.withColumn("key_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))).withColumn("tag_", F.expr("hash(coalesce(text, '')) & 65535").cast("long"))
+    keyed = docs.withColumn("key_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))).withColumn("tag_", F.expr("hash(coalesce(text, '')) & 16383").cast("long"))
     joined = keyed.join(runs, (keyed["key_"] == runs["key"]) & (keyed["tag_"] == runs["tag"]), "left").select(*[keyed[c] for c in docs.columns], "repeated_starts_")
     out = joined.mapInArrow(_cut_all(length), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

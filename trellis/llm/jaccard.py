@@ -461,7 +461,8 @@ def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     links = cells.repartition("cell").sortWithinPartitions("cell", "point").mapInArrow(_join(n, threshold), "a long, b long")
     labels = components(links)
     labelled = points.join(labels, "point", "left").select("doc_id", "size", F.coalesce("label", "point").alias("label"))
-    least = labelled.where("label >= 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own: a large component's rows can then be split between tasks.
+    least = written(labelled.where("label >= 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     return labelled.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("label") >= 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

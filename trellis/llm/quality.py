@@ -180,7 +180,8 @@ def _bin(distance: Column) -> Column:
 def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """One concentration step: the fit to the core of the last fit's distances."""
     placed = rows.join(fit, "group").select("group", *(f"v{i}" for i in range(DIMENSIONS)), _bin(_distance()).alias("bin"))
-    core = _quantile(placed.groupBy("group", "bin").agg(F.count("*").alias("n")), ["group"], CORE, "last")
+    # As a table of known size it is broadcast where it is small, so the rows need no shuffle.
+    core = written(_quantile(placed.groupBy("group", "bin").agg(F.count("*").alias("n")), ["group"], CORE, "last"), "quality-core")
     kept = placed.join(core, "group").where(F.col("bin") <= F.col("last"))
     sums = kept.groupBy("group").agg(
         F.count("*").alias("n"),

@@ -307,3 +307,12 @@ def test_components_of_a_long_chain(spark):
     s = friends(spark, [(f"n{i:03d}", "x", i) for i in range(n)], [(f"e{i}", f"n{i:03d}", f"n{i + 1:03d}") for i in range(n - 2)])
     assert rows(s.component_stats()) == [(2, n - 1, 1, n)]
     assert rows(s.components()) == [(0, n - 1, 1), (n - 1, 1, 2)]
+
+
+def test_filters_and_columns_reach_the_scan(spark, capsys):
+    from trellis import queries as q
+
+    q.queries()["gql_one_hop"](spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(o_orderstatus,F)" in plan and "struct<c_custkey:bigint,c_name:string>" in plan
+    assert "Python" not in plan and "Cartesian" not in plan

@@ -217,7 +217,7 @@ def allowed_nodes(pushed: list, catalog: Catalog, sources: dict[str, Source], no
         for f, operator, value in pushed:
             if f.table == name:
                 kind = f.type
-                condition = condition & F.coalesce(compiled(typed(F.col(f.column), kind), operator, value, lambda v, k=kind: _literal(v, k)), F.lit(False))
+                condition = condition & compiled(typed(F.col(f.column), kind), operator, value, lambda v, k=kind: _literal(v, k))
             elif operator != "is_null":
                 possible = False
         if not possible:
@@ -245,7 +245,7 @@ def after_rows(after: list, catalog: Catalog, sources: dict[str, Source]) -> Dat
             elif isinstance(value, (int, float)) and not isinstance(value, bool) and isinstance(kind, T.NumericType):
                 c = c.cast("double")
             one = compiled(c, operator, value, F.lit)
-            condition = condition & F.coalesce(one, F.lit(operator == "neq"))
+            condition = condition & (F.coalesce(one, F.lit(True)) if operator == "neq" else one)
         part = df.where(condition).select(F.lit(name).alias("label"), key_text(table.id_columns).alias("id"))
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -48,7 +48,7 @@ def search(
         df = sources[name].df
         if table not in (None, name) or key not in catalog.properties(name, df):
             continue
-        found = df.where(F.coalesce(matches(F.col(key), value, mode, case_sensitive), F.lit(False)))
+        found = df.where(matches(F.col(key), value, mode, case_sensitive))
         if tenant is not None and t.tenant_column:
             found = found.where(F.col(t.tenant_column).cast("string") == tenant)
         part = found.select(F.lit(catalog.ordinal(name)).alias("ord"), F.lit(name).alias("node_table"), key_text(t.id_columns).alias("node_id"))

@@ -448,20 +448,27 @@ class Planner:
             return F.col(f"{scope[x.var].prefix}__id_"), T.StringType(), None
         return None, None, self.value(x)
 
-    def predicate(self, x: Any, scope: Scope, df: DataFrame) -> Column:
-        """Two-valued: every comparison is true or false, never null."""
+    def predicate(self, x: Any, scope: Scope, df: DataFrame, plain: bool = True) -> Column:
+        """Two-valued: a comparison that is not true is false.
+
+        Outside NOT a filter takes null for false by itself, so comparisons stay
+        ``plain`` there and reach the scans; inside it they are made non-null."""
         if isinstance(x, And):
-            out = self.predicate(x.parts[0], scope, df)
+            out = self.predicate(x.parts[0], scope, df, plain)
             for p in x.parts[1:]:
-                out = out & self.predicate(p, scope, df)
+                out = out & self.predicate(p, scope, df, plain)
             return out
         if isinstance(x, Or):
-            out = self.predicate(x.parts[0], scope, df)
+            out = self.predicate(x.parts[0], scope, df, plain)
             for p in x.parts[1:]:
-                out = out | self.predicate(p, scope, df)
+                out = out | self.predicate(p, scope, df, plain)
             return out
         if isinstance(x, Not):
-            return ~self.predicate(x.inner, scope, df)
+            return ~self.predicate(x.inner, scope, df, False)
+        out = self.comparison(x, scope)
+        return out if plain else F.coalesce(out, F.lit(False))
+
+    def comparison(self, x: Any, scope: Scope) -> Column:
         if isinstance(x, IsNull):
             c, kind, v = self.operand(x.operand, scope)
             if c is None:
@@ -479,11 +486,11 @@ class Planner:
             if a is None:
                 return F.lit(av in bv)
             out = F.lit(False)
-            plain = [v for v in bv if v is not None and self.comparable(at, v)]
-            if plain and not isinstance(at, T.VariantType):
-                out = F.coalesce(a.isin([self.literal(v, at) for v in plain]), F.lit(False))
-            elif plain:
-                for v in plain:
+            known = [v for v in bv if v is not None and self.comparable(at, v)]
+            if known and not isinstance(at, T.VariantType):
+                out = a.isin([self.literal(v, at) for v in known])
+            elif known:
+                for v in known:
                     out = out | self.equal(a, at, None, None, v)
             return out | a.isNull() if None in bv else out
         if a is None and b is None:
@@ -494,8 +501,11 @@ class Planner:
         if x.op == "=":
             return self.equal(a, at, b, bt, bv)
         if x.op == "<>":
-            there = a.isNotNull() if isinstance(at, T.VariantType) else F.lit(True)
-            return ~self.equal(a, at, b, bt, bv) & there
+            if isinstance(at, T.VariantType):
+                return ~F.coalesce(self.equal(a, at, b, bt, bv), F.lit(False)) & a.isNotNull()
+            if b is None and bv is not None and self.comparable(at, bv):
+                return (a != self.literal(bv, at)) | a.isNull()
+            return ~F.coalesce(self.equal(a, at, b, bt, bv), F.lit(False))
         return self.ordered(x.op, a, at, b, bt, bv)
 
     @staticmethod
@@ -536,7 +546,7 @@ class Planner:
             return F.coalesce(typed & (F.try_variant_get(a, "$", kind) == F.lit(v)), F.lit(False))
         if not self.comparable(at, v):
             return F.lit(False)
-        return F.coalesce(a == self.literal(v, at), F.lit(False))
+        return a == self.literal(v, at)
 
     def ordered(self, op: str, a: Column, at: T.DataType, b: Column | None, bt: T.DataType | None, v: Any) -> Column:
         if b is None:
@@ -555,7 +565,7 @@ class Planner:
         out = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
         if self.strict:
             return F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("PG017: ordered comparison of null")).cast("boolean")).otherwise(out)
-        return F.coalesce(out, F.lit(False))
+        return out
 
     def property_map(self, n: NodePattern, var: str, scope: Scope, df: DataFrame) -> Column:
         scope = scope if var in scope else scope | {var: Binding("node", var, n.label)}

@@ -138,7 +138,8 @@ def store_media(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
     name only files of tasks that succeeded."""
     rows = written(only(docs).mapInArrow(_store(folder, shard_bytes), ROWS), "media-rows")
     place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    return rows.select("doc_id", "n_bytes", "digest").join(place, "digest").select("doc_id", "n_bytes", "digest", "place.shard", "place.offset", "place.length")
+    placed = rows.select("doc_id", "n_bytes", "digest").join(place, "digest").select("doc_id", "n_bytes", "digest", "place.shard", "place.offset", "place.length")
+    return written(placed, "media-columns")  # read by several consumers
 
 
 def _ranges(folder: str, schema: pa.Schema, whole: bool):

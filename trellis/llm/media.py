@@ -41,8 +41,8 @@ ROWS = "doc_id long, n_bytes long, digest string, shard string, offset long, len
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 HEADERS = "digest string, shard string, offset long, length long, width long, height long, bit_depth long"
 _HEADERS = pa.schema([("digest", pa.string()), ("shard", pa.string()), *((c, pa.int64()) for c in ("offset", "length", "width", "height", "bit_depth"))])
-READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_READ = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+_READ = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int64()), ("height", pa.int64())])
 
 
 def padded(data: bytes) -> bytes:
@@ -153,13 +153,14 @@ def _ranges(folder: str, schema: pa.Schema, whole: bool):
                     if file is not None:
                         file.close()
                     opened, file = shard, fs.open_input_file(f"{path}/{shard}")
-                data = file.read_at(length if whole else min(HEADER, length), offset)
+                width, height, depth = read_header(file.read_at(min(HEADER, length), offset))
                 if whole:
+                    data = file.read_at(length, offset)
                     samples = from_png(data)
                     payload = samples.tobytes()
-                    rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), length, hashlib.sha256(data).hexdigest(), features(samples)))
+                    rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), length, hashlib.sha256(data).hexdigest(), features(samples), width, height))
                 else:
-                    rows.append((digest, shard, offset, length, *read_header(data)))
+                    rows.append((digest, shard, offset, length, width, height, depth))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         if file is not None:
@@ -179,13 +180,12 @@ def media_headers(media: DataFrame, folder: str) -> DataFrame:
 
 
 def read_media(media: DataFrame, folder: str) -> DataFrame:
-    """Checksums and features of each digest, from its stored bytes."""
+    """Checksums and features of each digest from its stored bytes, after its
+    metadata from a range read of its header."""
     return _places(media).mapInArrow(_ranges(folder, _READ, True), READ)
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
     folder = new_folder(docs.sparkSession, "media")
     media = store_media(docs, folder)
-    heads = media_headers(media, folder).select("digest", "width", "height", "bit_depth")
-    found = read_media(media, folder).join(heads, "digest")
-    return media.select("doc_id", "n_bytes", "digest", "offset", "length").join(found, "digest").drop("digest")
+    return media.select("doc_id", "n_bytes", "digest", "offset", "length").join(read_media(media, folder), "digest").drop("digest")

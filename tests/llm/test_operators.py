@@ -165,6 +165,38 @@ def test_components_of_awkward_documents(odd, none):
     assert jaccard.one_of_each(none).count() == 0
 
 
+def number_of_links(rows: list[tuple], n: int, a: int, b: int) -> list[tuple]:
+    sets = [brute.shingles(t, n) for _, t in rows]
+
+    def link(x: set, y: set) -> bool:
+        return bool(both := len(x & y)) and b * both >= a * (len(x) + len(y) - both)
+
+    return sorted(((d, sum(link(x, y) for j, y in enumerate(sets) if i != j)) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+@pytest.mark.parametrize("region", [1024, 8])
+def test_every_link_is_counted(spark, odd, region):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for k in (40, 12, 3):
+        base = [rnd.choice(words) for _ in range(80)]
+        texts = [" ".join(base[:i] + [f"own{i}"] + base[i + 1 :]) for i in range(k)]
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts + texts[:2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for docs, of in ((df, rows), (odd, brute.pairs(odd))):
+        found = jaccard.similar_components(docs, region=region, count_links=True)
+        assert got(found.select("doc_id", "n_links")) == number_of_links(of, 4, 85, 100)
+    _, links = jaccard.point_links(df, region=region)
+    assert links.count() == links.distinct().count() == len(set_pairs(rows))
+
+
+def set_pairs(rows: list[tuple]) -> list[tuple]:
+    """Linked pairs of different sets, each once."""
+    sets = sorted({frozenset(brute.shingles(t, 4)) for _, t in rows}, key=sorted)
+    return [(i, j) for i, x in enumerate(sets) for j in range(i) if 100 * len(x & sets[j]) >= 85 * len(x | sets[j])]
+
+
 # -- BPE
 
 

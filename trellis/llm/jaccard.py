@@ -20,15 +20,17 @@ a distance of at most ``r``.
    and a region falls into the parts that can still be connected; texts are
    fetched for these parts alone.
 4. *Windows.*  In a region, points are sorted by their exact distance to the
-   pivot.  Points whose distances differ by more than ``r`` cannot link; points
-   within ``r`` of the pivot link to it and are one component at once; what is
-   left is compared block by block inside the window, exactly.
+   pivot.  Points whose distances differ by more than ``r`` cannot link; all
+   others are compared block by block inside the window, exactly, and every
+   pair that links is a row, whether other links connect it already or not.
 5. *Recursion.*  A region too large for one task is split into cells of points;
    each pair of cells is a smaller region with a pivot and windows of its own.
 
 The order of shingles counts them in ``2 ** SKETCH_BITS`` classes over all
 documents; any order is exact, this one keeps frequent shingles out of use.
-Components of the links come from rounds of smallest-neighbour contraction.
+A link found in several regions is kept once.  Components of the links come
+from rounds of smallest-neighbour contraction; a document's number of links
+counts each document of a linked point, and the other copies of its own.
 
 Shingles are 64-bit identifiers.  Words are runs of bytes other than the six
 white-space bytes, A-Z lower-cased; a text with fewer words than ``n`` is one
@@ -311,8 +313,8 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: tuple[in
     return threshold[1] * common >= threshold[0] * (a + b - common)
 
 
-def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int], block: int = 256) -> list[tuple[int, int]]:
-    """Links that connect the points of a region as all its links do."""
+def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int], block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of every link between the points of a region, each link once."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     # Shingles of one set alone don't matter; the others get columns.
@@ -323,24 +325,10 @@ def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int],
     row = row[use]
     begin = np.searchsorted(row, np.arange(m + 1))
     width = int(shared.sum())
-    out: list[tuple[int, int]] = []
-    label = np.arange(m)
-
-    def unite(a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = label[x], label[y]
-            if p != q:
-                label[label == max(p, q)] = min(p, q)
-                out.append((x, y))
-
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     mark = np.zeros(width, bool)
     mark[column[begin[pivot] : begin[pivot + 1]]] = True
     common = np.bincount(row, mark[column], minlength=m).astype(np.int64) if len(column) else np.zeros(m, np.int64)
-    near = linked(common, size, np.full(m, size[pivot]), threshold)
-    near[pivot] = False
-    unite(np.full(int(near.sum()), pivot), np.flatnonzero(near))
-    if near.sum() == m - 1:
-        return out
     distance = 1 - common / (size + size[pivot] - common)
     distance[pivot] = 0
     order = np.argsort(distance, kind="stable")
@@ -368,12 +356,11 @@ def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int],
             right = order[b : b + block]
             if distance[right[0]] - distance[left[-1]] > r:
                 break  # and so are all further blocks
-            if len(np.unique(label[np.concatenate((left, right))])) == 1:
-                continue  # one component already
             both = (one @ (one if a == b else dense(right, columns)).T).astype(np.int64)
             i, j = np.nonzero(linked(both, size[left][:, None], size[right][None, :], threshold))
-            unite(left[i], right[j])
-    return out
+            once = i < j if a == b else slice(None)
+            found.append((left[i[once]], right[j[once]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -382,44 +369,41 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _join(n: int, threshold: tuple[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        out: list[tuple[int, int]] = []
         cell, points, texts, pivot = None, [], [], None
 
-        def settle() -> None:
+        def settle() -> pa.RecordBatch:
             data = [unpack.decompress(t) for t in texts]
             off = np.concatenate(([0], np.cumsum([len(d) for d in data])))
             ids, ends = sets_of(*spaced(np.frombuffer(b"".join(data), np.uint8), off), n)
             sets = np.split(ids, ends[:-1])
-            out.extend((points[i], points[j]) for i, j in join_region(sets, points.index(pivot), threshold))
+            own = np.array(points, np.int64)
+            a, b = (own[x] for x in join_region(sets, points.index(pivot), threshold))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
 
         for batch in batches:
             packed = batch.column("packed")
             for i, (c, point, p) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cell", "point", "pivot")), strict=True)):
                 if c != cell:
                     if len(points) > 1:
-                        settle()
+                        yield settle()
                     cell, points, texts, pivot = c, [], [], p
                 points.append(point)
                 texts.append(packed[i].as_py())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_LINKS)
-                out = []
         if len(points) > 1:
-            settle()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_LINKS)
+            yield settle()
 
     return run
 
 
 def components(links: DataFrame) -> DataFrame:
     """(point, label) of each linked point; ``label`` is its component's smallest.
+    ``links`` is a table of distinct pairs, ``a`` below ``b``.
 
     Large-star, small-star: each round points every node at the smallest of its
     neighbourhood, until the edges are stars.  Edges only ever decrease in
     number beyond the first round; each round is a table in the shared folder.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    edges = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     if edges.isEmpty():
         return edges.select(F.col("u").alias("point"), F.col("v").alias("label"))
     before = None
@@ -436,8 +420,9 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; ``threshold`` is a fraction."""
+def point_links(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, point, size) of each document, and (a, b) of every link between
+    two points, each once, ``a`` below ``b``; ``threshold`` is a fraction."""
     spark = docs.sparkSession
     texts = only(docs)
     scan = written(texts.mapInArrow(_sets(n, SKETCH_BITS), "doc_id long, point long, size long, sketch boolean, vector binary"), "sets")
@@ -459,11 +444,33 @@ def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     rows = texts.select("text").mapInArrow(_texts(n), TEXTS).unionByName(marks)
     cells = rows.repartition("point").sortWithinPartitions("point", "kind").mapInArrow(_place, "cell string, point long, pivot long, packed binary")
     links = cells.repartition("cell").sortWithinPartitions("cell", "point").mapInArrow(_join(n, threshold), "a long, b long")
+    return points, written(links.distinct(), "links")
+
+
+def _numbers(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(point, n_links) of each point with links or copies: the documents that
+    each of its own links with."""
+    copies = points.where("point >= 0").groupBy("point").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = written(copies, "copies")
+    ends = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
+    others = ends.join(copies.select(F.col("point").alias("other"), "copies"), "other", "left")
+    to_others = others.groupBy("point").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    return to_others.join(copies, "point", "full").select("point", n_links.alias("n_links"))
+
+
+def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document, and with
+    ``count_links`` n_links, the number of other documents that it links with."""
+    points, links = point_links(docs, n, threshold, region)
     labels = components(links)
-    labelled = points.join(labels, "point", "left").select("doc_id", "size", F.coalesce("label", "point").alias("label"))
+    extra = ["n_links"] if count_links else []
+    if count_links:
+        labels = _numbers(points, links).join(labels, "point", "left")
+    labelled = points.join(labels, "point", "left").select("doc_id", "size", F.coalesce("label", "point").alias("label"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra))
     # A table of its own: a large component's rows can then be split between tasks.
     least = written(labelled.where("label >= 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
-    return labelled.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("label") >= 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("label") >= 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:

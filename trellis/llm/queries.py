@@ -32,7 +32,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(_documents(spark, sf_dir), n=4, threshold=(85, 100))
+    return jaccard.similar_components(_documents(spark, sf_dir), n=4, threshold=(85, 100), count_links=True)
 
 
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tests.llm import brute
 
-from trellis.llm import bpe, chat, counts, idfiles, jaccard, media, packing, pii, quality, suffix
+from trellis.llm import bpe, chat, counts, idfiles, jaccard, kernels, media, packing, pii, quality, suffix
 from trellis.llm.tokens import byte_ids, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +92,16 @@ def test_repeats_in_documents_beyond_a_chunk(spark):
     assert [(found[i].n_removed, found[i].n_spans) for i in (1, 2, 3)] == [(450, 1), (450, 1), (0, 0)]
 
 
+def test_long_texts_after_empty_ones(spark):
+    assert list(kernels.chunks([0, 9, 0, 0, 9, 1, 1], 5)) == [(0, 1), (1, 2), (2, 4), (4, 5), (5, 7)]
+    rnd = random.Random(6)
+    one = "".join(rnd.choice("abcdefghij") for _ in range(1_300_000))
+    rows = [(0, ""), (1, one), (2, None), (3, "HEAD" + one[1_200_000:1_200_450] + "TAIL")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in suffix.removal_digests(df).collect()}
+    assert [(found[i].n_removed, found[i].n_spans) for i in range(4)] == [(0, 0), (450, 1), (0, 0), (450, 1)]
+
+
 def test_frequent_buckets_are_settled_in_parts(spark):
     line = "a very common line of a good many bytes that stands in each of the documents here, " * 2
     rnd = random.Random(2)

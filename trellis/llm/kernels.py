@@ -80,10 +80,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive rows of about ``limit`` bytes together."""
+    """Index ranges of consecutive rows of at most ``limit`` bytes together; a
+    larger row is a range of its own."""
     start = total = 0
     for i, s in enumerate(sizes):
-        if total and total + s > limit:
+        if i > start and total + s > limit:
             yield start, i
             start, total = i, 0
         total += s

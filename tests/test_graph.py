@@ -316,3 +316,30 @@ def test_filters_and_columns_reach_the_scan(spark, capsys):
     plan = capsys.readouterr().out
     assert "EqualTo(o_orderstatus,F)" in plan and "struct<c_custkey:bigint,c_name:string>" in plan
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_limits_of_none_are_none(spark):
+    n = 1100
+    users = [(f"u{i}", f"User {i}", i) for i in range(n)] + [(f"x{i}", "Alone", i) for i in range(n)]
+    s = friends(spark, users, [(f"f{i}", "u0", f"u{i}") for i in range(1, n)])
+    for x in ("max_nodes", "max_frontier", "max_exact_path_count"):
+        s.settings.set(x, 5)
+    t = {"starts": [["users", "u0"]], "min_depth": 1, "max_depth": 1, "direction": "out"}
+    assert s.traverse("users", "u0", 1, max_rows=None).count() == 5
+    assert rows(s.path_count_estimate(t)) == [(5, False, True)]
+    for x in ("max_nodes", "max_frontier", "max_exact_path_count"):
+        s.settings.set(x, None)
+    assert s.traverse("users", "u0", 1, hydrate=False, max_rows=None).count() == n
+    assert s.traverse("users", "u0", 1, strategy="dfs", hydrate=False, max_rows=None).count() == n
+    assert rows(s.path_count_estimate(t)) == [(n - 1, True, False)]
+    assert s.search_nodes("name", "user", "users", max_rows=None).count() == n
+    assert s.largest_component(None, hydrate=False).count() == n == s.isolated_nodes(None, hydrate=False).count()
+
+
+def test_registered_queries_are_not_cut(spark):
+    from trellis import queries
+
+    found = queries.queries()
+    sf = "/root/testdata/sf0.01"
+    largest = queries._session(spark, sf, "geo").components(1).head().component_size
+    assert found["largest_component"](spark, sf).count() == largest > 50

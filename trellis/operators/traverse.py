@@ -8,6 +8,7 @@ replaces any global ranking.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -50,11 +51,13 @@ def adjacency(edges: DataFrame, nodes: DataFrame, direction: str, types: list[st
     return steps.withColumn("dst_ord", table[F.col("dst_label")])
 
 
-def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int, max_frontier: int, stop: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, bool]:
+def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int | None, max_frontier: int | None, stop: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, bool]:
     """Rows (root_table, root_id, node_table, node_id, depth, path, edge_path)
     and whether a limit cut it; ``roots`` has (ord, table, id).
 
-    Only the neighbour is checked, so roots may fail every filter."""
+    Only the neighbour is checked, so roots may fail every filter.  A limit
+    of None is none."""
+    max_nodes, max_frontier = (math.inf if x is None else x for x in (max_nodes, max_frontier))
     keys = ["root_table", "root_id", "node_table", "node_id"]
     start = roots.select(
         F.col("table").alias("root_table"), F.col("id").alias("root_id"), F.col("table").alias("node_table"), F.col("id").alias("node_id"),
@@ -96,10 +99,11 @@ def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int, max_
     return reached, capped
 
 
-def dfs(root: tuple[int, str, str], ball: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int, max_frontier: int) -> tuple[list[tuple], bool]:
+def dfs(root: tuple[int, str, str], ball: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int | None, max_frontier: int | None) -> tuple[list[tuple], bool]:
     """Depth-first order on the driver, over the steps inside a breadth-first
     ball: a node is marked, and its depth fixed, as it is pushed.  The ball is
-    bounded by ``max_nodes``."""
+    bounded by ``max_nodes``; None is no bound."""
+    max_nodes, max_frontier = (math.inf if x is None else x for x in (max_nodes, max_frontier))
     inside = ball.select(F.col("node_table").alias("src_label"), F.col("node_id").alias("src_id"))
     target = ball.select(F.col("node_table").alias("dst_label"), F.col("node_id").alias("dst_id"))
     rows = steps.join(inside, ["src_label", "src_id"], "left_semi").join(target, ["dst_label", "dst_id"], "left_semi").select("src_label", "src_id", "dst_ord", "dst_label", "dst_id", "type").collect()

@@ -33,7 +33,7 @@ def _session(spark: SparkSession, sf_dir: str, kind: str) -> Session:
     """One session for each folder and kind of graph, so that a built graph is reused."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _kept:
-        s = Session(spark, Settings(max_nodes=10_000_000, max_frontier=10_000_000))
+        s = Session(spark, Settings(max_nodes=None, max_frontier=None, max_exact_path_count=None))
         for name, (pk, fks) in TABLES.items():
             s.source(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), pk, fks)
         {"trade": _trade, "up": _up, "geo": _geo, "sales": _sales}[kind](s)
@@ -171,50 +171,50 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def traverse_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "up").traverse("region", "1", 2, direction="in", hydrate=False, max_rows=1_000_000))
+    return _flat(_session(spark, sf_dir, "up").traverse("region", "1", 2, direction="in", hydrate=False, max_rows=None))
 
 
 def traverse_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "geo").traverse("supplier", "7", 3, hydrate=False, max_rows=1_000_000))
+    return _flat(_session(spark, sf_dir, "geo").traverse("supplier", "7", 3, hydrate=False, max_rows=None))
 
 
 def traverse_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "up").traverse(["nation", "nation", "nation"], ["3", "4", "5"], 2, direction="in", uniqueness="node_per_root", hydrate=False, max_rows=1_000_000))
+    return _flat(_session(spark, sf_dir, "up").traverse(["nation", "nation", "nation"], ["3", "4", "5"], 2, direction="in", uniqueness="node_per_root", hydrate=False, max_rows=None))
 
 
 def traverse_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "up").traverse(["customer", "customer", "nation"], ["3", "4", "5"], 3, hydrate=False, max_rows=1_000_000)).select("node_table", "node_id")
+    return _flat(_session(spark, sf_dir, "up").traverse(["customer", "customer", "nation"], ["3", "4", "5"], 3, hydrate=False, max_rows=None)).select("node_table", "node_id")
 
 
 def traverse_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir, "up")
-    return _flat(s.traverse("nation", "3", 3, direction="in", filter=fl.on_node(fl.at_least("c_acctbal", 5000)), hydrate=False, max_rows=1_000_000))
+    return _flat(s.traverse("nation", "3", 3, direction="in", filter=fl.on_node(fl.at_least("c_acctbal", 5000)), hydrate=False, max_rows=None))
 
 
 def traverse_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir, "up")
-    return _flat(s.traverse("nation", "3", 3, direction="in", filter=fl.all_([fl.equals("o_orderstatus", "P"), fl.greater_than("o_totalprice", 50000)]), hydrate=False, max_rows=1_000_000))
+    return _flat(s.traverse("nation", "3", 3, direction="in", filter=fl.all_([fl.equals("o_orderstatus", "P"), fl.greater_than("o_totalprice", 50000)]), hydrate=False, max_rows=None))
 
 
 def traverse_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "geo").traverse("region", "2", 2, ["in_region", "based_in"], node_tables=["supplier"], hydrate=False, max_rows=1_000_000))
+    return _flat(_session(spark, sf_dir, "geo").traverse("region", "2", 2, ["in_region", "based_in"], node_tables=["supplier"], hydrate=False, max_rows=None))
 
 
 def traverse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _session(spark, sf_dir, "up").traverse("customer", "11", 3, hydrate=False)
+    rows = _session(spark, sf_dir, "up").traverse("customer", "11", 3, hydrate=False, max_rows=None)
     return rows.select("node_id", "depth", format_path_column(F.col("path"), F.col("edge_path")).alias("readable_path"))
 
 
 def traverse_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "up").traverse("nation", "6", 2, direction="in", strategy="dfs", hydrate=False, max_rows=1_000_000).select("node_table", "node_id", "depth")
+    return _session(spark, sf_dir, "up").traverse("nation", "6", 2, direction="in", strategy="dfs", hydrate=False, max_rows=None).select("node_table", "node_id", "depth")
 
 
 def traverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_session(spark, sf_dir, "up").traverse_search("n_name", "NATION_1", "nation", "prefix", True, max_depth=1, hydrate=False, max_rows=1_000_000))
+    return _flat(_session(spark, sf_dir, "up").traverse_search("n_name", "NATION_1", "nation", "prefix", True, max_depth=1, hydrate=False, max_rows=None))
 
 
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").get_neighbors("default", "nation", "9", hydrate=False, max_rows=1_000_000).select("node_table", "node_id", "depth")
+    return _session(spark, sf_dir, "geo").get_neighbors("default", "nation", "9", hydrate=False, max_rows=None).select("node_table", "node_id", "depth")
 
 
 def node(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(mode: str, value: str, sensitive: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _session(spark, sf_dir, "trade").search_nodes("p_name", value, "part", mode, sensitive, 1_000_000).select("node_table", "node_id", "match_type")
+        return _session(spark, sf_dir, "trade").search_nodes("p_name", value, "part", mode, sensitive, None).select("node_table", "node_id", "match_type")
 
     return run
 
@@ -260,11 +260,11 @@ def component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").largest_component(50, hydrate=False).select("node_table", "node_id")
+    return _session(spark, sf_dir, "geo").largest_component(None, hydrate=False).select("node_table", "node_id")
 
 
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").isolated_nodes(1_000_000, hydrate=False).select("node_table", "node_id")
+    return _session(spark, sf_dir, "geo").isolated_nodes(None, hydrate=False).select("node_table", "node_id")
 
 
 def _aggregate(scope: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -272,7 +272,7 @@ def _aggregate(scope: str) -> Callable[[SparkSession, str], DataFrame]:
         s = _session(spark, sf_dir, "up")
         found = s.aggregate(
             {"starts": [["nation", "3"]], "max_depth": 2, "direction": "in"},
-            [{"function": f, "table": "customer", "column": "c_acctbal", "alias": a} for f, a in (("sum", "total"), ("count", "n"))], scope, 10_000_000,
+            [{"function": f, "table": "customer", "column": "c_acctbal", "alias": a} for f, a in (("sum", "total"), ("count", "n"))], scope, None,
         )
         return s.rows([(round(found["total"], 2), found["n"])], "total double, n long")
 
@@ -288,11 +288,11 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").expand("region", "0", 2, target_table="supplier", max_rows=100_000).select("node_table", "node_id", "depth", "readable_path", "truncated")
+    return _session(spark, sf_dir, "geo").expand("region", "0", 2, target_table="supplier", max_rows=None).select("node_table", "node_id", "depth", "readable_path", "truncated")
 
 
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").find_related("n_name", "NATION_2", "nation", "exact", True, max_depth=1, target_table="supplier", max_rows=100_000, include_counts=True).select("node_table", "node_id", "depth", "filtered_count")
+    return _session(spark, sf_dir, "geo").find_related("n_name", "NATION_2", "nation", "exact", True, max_depth=1, target_table="supplier", max_rows=None, candidate_limit=None, include_counts=True).select("node_table", "node_id", "depth", "filtered_count")
 
 
 def readable_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ def connection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").neighborhood("n_name", "NATION_4", "nation", "exact", max_depth=1, node_limit=1_000_000).select("depth", "node_table", "node_count", "truncated")
+    return _session(spark, sf_dir, "geo").neighborhood("n_name", "NATION_4", "nation", "exact", max_depth=1, node_limit=None).select("depth", "node_table", "node_count", "truncated")
 
 
 def registered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

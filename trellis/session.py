@@ -32,6 +32,10 @@ from trellis.settings import Settings
 TRAVERSE = "root_table string, root_id string, node_table string, node_id string, depth int, path array<struct<table:string,id:string>>, edge_path array<string>, capped boolean"
 
 
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    return rows if n is None else rows.limit(n)
+
+
 @dataclass
 class Session(Admin):
     """A property graph over DataFrames.
@@ -226,24 +230,24 @@ class Session(Admin):
 
     # -- search
 
-    def search(self, property_key: str, property_value: str, table_filter: str | None = None, mode: str | None = None, case_sensitive: bool | None = None, max_rows: int = 100, row_offset: int = 0, tenant: str | None = None, hydrate: bool | None = None) -> DataFrame:
+    def search(self, property_key: str, property_value: str, table_filter: str | None = None, mode: str | None = None, case_sensitive: bool | None = None, max_rows: int | None = 100, row_offset: int = 0, tenant: str | None = None, hydrate: bool | None = None) -> DataFrame:
         out = self._found(property_key, property_value, table_filter, mode, case_sensitive, max_rows, row_offset, tenant)
         hydrate = self.settings.default_hydrate if hydrate is None else hydrate
         out = self.hydrated(out) if hydrate else out.withColumn("node", F.lit(None).cast("string"))
         return out.select("node_table", "node_id", "match_type", "score", "verified", "node", F.col("node_table").alias("node_table_name")).orderBy("node_table", "node_id")
 
-    def search_nodes(self, property_key: str, property_value: str, table_filter: str | None = None, mode: str | None = None, case_sensitive: bool | None = None, max_rows: int = 100, row_offset: int = 0, tenant: str | None = None) -> DataFrame:
+    def search_nodes(self, property_key: str, property_value: str, table_filter: str | None = None, mode: str | None = None, case_sensitive: bool | None = None, max_rows: int | None = 100, row_offset: int = 0, tenant: str | None = None) -> DataFrame:
         out = self._found(property_key, property_value, table_filter, mode, case_sensitive, max_rows, row_offset, tenant)
         return out.select("node_table", "node_id", "match_type", "score", "verified", F.col("node_table").alias("node_table_name"))
 
-    def _found(self, key: str, value: str, table: str | None, mode: str | None, case_sensitive: bool | None, max_rows: int, row_offset: int, tenant: str | None) -> DataFrame:
+    def _found(self, key: str, value: str, table: str | None, mode: str | None, case_sensitive: bool | None, max_rows: int | None, row_offset: int, tenant: str | None) -> DataFrame:
         self.check_enabled()
         mode = mode or self.settings.default_search_mode
         sensitive = self.settings.default_case_sensitive if case_sensitive is None else case_sensitive
         out = srch.search(self.current.catalog, self.sources, key, value, table, mode, sensitive, tenant or self.settings.tenant)
         out = out.dropDuplicates(["node_table", "node_id"]).orderBy("ord", "node_id")
         out = out.offset(row_offset) if row_offset else out
-        return out.limit(max_rows).select("ord", "node_table", "node_id", F.lit(mode).alias("match_type"), F.lit(1.0).cast("float").alias("score"), F.lit(True).alias("verified"))
+        return _first(out, max_rows).select("ord", "node_table", "node_id", F.lit(mode).alias("match_type"), F.lit(1.0).cast("float").alias("score"), F.lit(True).alias("verified"))
 
     def hydrated(self, rows: DataFrame, table: str = "node_table", key: str = "node_id") -> DataFrame:
         """Adds ``node``, the source row as JSON: a join for each table."""
@@ -280,7 +284,7 @@ class Session(Admin):
     def traverse(
         self, seed_table: str | list[str], seed_id: str | list[str], max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any",
         node_tables: list[str] | None = None, filter: dict | str | None = None, tenant: str | None = None, strategy: str = "bfs", uniqueness: str = "node_global",
-        include_start: bool = True, hydrate: bool | None = None, max_rows: int = 1000, row_offset: int = 0, max_nodes: int | None = None, max_frontier: int | None = None,
+        include_start: bool = True, hydrate: bool | None = None, max_rows: int | None = 1000, row_offset: int = 0, max_nodes: int | None = None, max_frontier: int | None = None,
     ) -> DataFrame:
         """From one seed, or from lists of tables and ids."""
         several = not isinstance(seed_table, str)
@@ -323,11 +327,11 @@ class Session(Admin):
             raise GraphError("semantic", f"unknown uniqueness {uniqueness}")
         return rows.select("root_table", "root_id", "node_table", "node_id", "depth", "path", "edge_path", "capped")
 
-    def _page(self, rows: DataFrame, max_rows: int, row_offset: int, hydrate: bool | None) -> DataFrame:
+    def _page(self, rows: DataFrame, max_rows: int | None, row_offset: int, hydrate: bool | None) -> DataFrame:
         order = ["root_table", "root_id", "depth", "node_table", "node_id"]
         out = rows.orderBy(*order)
         out = out.offset(row_offset) if row_offset else out
-        out = out.limit(max_rows)
+        out = _first(out, max_rows)
         hydrate = self.settings.default_hydrate if hydrate is None else hydrate
         out = self.hydrated(out).orderBy(*order) if hydrate else out.withColumn("node", F.lit(None).cast("string"))
         return out.select("root_table", "root_id", "node_table", "node_id", "depth", "path", "edge_path", "node", F.col("root_table").alias("root_table_name"), F.col("node_table").alias("node_table_name"), "capped")
@@ -335,7 +339,7 @@ class Session(Admin):
     def traverse_search(
         self, property_key: str, property_value: str, table_filter: str | None = None, search_mode: str | None = None, case_sensitive: bool | None = None, search_max_rows: int = 100,
         search_row_offset: int = 0, max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any", node_tables: list[str] | None = None, filter: Any = None,
-        tenant: str | None = None, strategy: str = "bfs", uniqueness: str = "node_per_root", include_start: bool = True, hydrate: bool | None = None, max_rows: int = 1000, row_offset: int = 0,
+        tenant: str | None = None, strategy: str = "bfs", uniqueness: str = "node_per_root", include_start: bool = True, hydrate: bool | None = None, max_rows: int | None = 1000, row_offset: int = 0,
     ) -> DataFrame:
         self.graph()
         seeds = self._found(property_key, property_value, table_filter, search_mode, case_sensitive, search_max_rows, search_row_offset, tenant)
@@ -353,7 +357,7 @@ class Session(Admin):
         node = F.to_json(F.struct(*g.catalog.properties(label, df)), {"ignoreNullFields": "false"}) if hydrate else F.lit(None).cast("string")
         return df.select(F.lit(g.id).alias("graph_id"), F.lit(g.name).alias("graph_name"), F.lit(label).alias("node_table"), F.lit(label).alias("node_table_name"), key_text(t.id_columns).alias("node_id"), F.lit(None).cast("bigint").alias("node_idx"), node.alias("node"))
 
-    def get_neighbors(self, graph_name: str, label: str, id: str, direction: str = "any", edge_types: list[str] | None = None, tenant: str | None = None, hydrate: bool = True, max_rows: int = 1000, graph_tenant: str | None = None, graph_namespace: str | None = None) -> DataFrame:
+    def get_neighbors(self, graph_name: str, label: str, id: str, direction: str = "any", edge_types: list[str] | None = None, tenant: str | None = None, hydrate: bool = True, max_rows: int | None = 1000, graph_tenant: str | None = None, graph_namespace: str | None = None) -> DataFrame:
         self.find_graph(graph_name, graph_tenant, graph_namespace)
         return self.traverse(label, id, 1, edge_types, direction, tenant=tenant, include_start=False, hydrate=hydrate, max_rows=max_rows)
 
@@ -411,19 +415,19 @@ class Session(Admin):
 
         return out.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("component_size"), "component_id")) + row_offset).cast("int"))  # of one page
 
-    def _members(self, rows: DataFrame, order: list[str], max_rows: int, row_offset: int, hydrate: bool) -> DataFrame:
-        out = rows.orderBy(*order).offset(row_offset).limit(max_rows)
+    def _members(self, rows: DataFrame, order: list[str], max_rows: int | None, row_offset: int, hydrate: bool) -> DataFrame:
+        out = _first(rows.orderBy(*order).offset(row_offset), max_rows)
         out = self.hydrated(out).orderBy(*order) if hydrate else out.withColumn("node", F.lit(None).cast("string"))
         return out.select("component_id", "node_table", "node_id", "node")
 
-    def largest_component(self, max_rows: int = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
+    def largest_component(self, max_rows: int | None = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
         first = self.components(1).head()
         return self.component(-1 if first is None else first.component_id, max_rows, row_offset, hydrate)
 
-    def component(self, component_id: int, max_rows: int = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
+    def component(self, component_id: int, max_rows: int | None = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
         return self._members(self._components().where(F.col("component_id") == component_id), ["ord", "node_id"], max_rows, row_offset, hydrate)
 
-    def isolated_nodes(self, max_rows: int = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
+    def isolated_nodes(self, max_rows: int | None = 100, row_offset: int = 0, hydrate: bool = True) -> DataFrame:
         return self._members(self._components().where("component_size = 1"), ["component_id", "ord", "node_id"], max_rows, row_offset, hydrate)
 
     # -- aggregation
@@ -462,7 +466,7 @@ class Session(Admin):
         if scope == "all_possible_paths":
             limit = path_limit or self.settings.max_exact_path_count
             found = self._kept(self._ends(pth.simple_paths(roots, steps, low, high, limit)), t)
-            if found.limit(limit + 1).count() > limit:
+            if limit is not None and found.limit(limit + 1).count() > limit:
                 raise GraphError("resource_limit", f"more than {limit} paths")
             nodes = found.select(F.explode("path").alias("n")).select(F.col("n.table").alias("node_table"), F.col("n.id").alias("node_id"))
         else:
@@ -480,7 +484,10 @@ class Session(Admin):
         t = self._traversal(traversal)
         roots, steps, low, high = self._walk(t)
         cap = self.settings.max_exact_path_count
-        n = self._kept(self._ends(pth.simple_paths(roots, steps, low, high, cap)), t).limit(cap + 1).count()
+        found = self._kept(self._ends(pth.simple_paths(roots, steps, low, high, cap)), t)
+        if cap is None:
+            return self.rows([(found.count(), True, False)], "estimated_paths long, exact boolean, capped boolean")
+        n = found.limit(cap + 1).count()
         return self.rows([(min(n, cap), n <= cap, n > cap)], "estimated_paths long, exact boolean, capped boolean")
 
     # -- pattern queries
@@ -559,7 +566,7 @@ class Session(Admin):
 
         return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + row_offset).cast("int"))  # of one page
 
-    def expand(self, seed_table: str, seed_id: str, max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any", target_table: str | None = None, target_tables: list[str] | None = None, where_node: Any = None, tenant: str | None = None, max_rows: int = 50, row_offset: int = 0, include_start: bool = False) -> DataFrame:
+    def expand(self, seed_table: str, seed_id: str, max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any", target_table: str | None = None, target_tables: list[str] | None = None, where_node: Any = None, tenant: str | None = None, max_rows: int | None = 50, row_offset: int = 0, include_start: bool = False) -> DataFrame:
         tables = self._targets(target_table, target_tables)
         rows = self.traverse(seed_table, seed_id, max_depth, edge_types, direction, tables, where_node, tenant, include_start=include_start, max_rows=max_rows, row_offset=row_offset, hydrate=True).persist()
         full = rows.count() == max_rows
@@ -575,7 +582,7 @@ class Session(Admin):
     def find_related(
         self, property_key: str, property_value: str, source_table: str | None = None, search_mode: str | None = None, case_sensitive: bool | None = None, search_max_rows: int = 1, search_row_offset: int = 0,
         max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any", target_table: str | None = None, target_tables: list[str] | None = None, where_node: Any = None, tenant: str | None = None,
-        max_rows: int = 20, row_offset: int = 0, include_counts: bool = False, candidate_limit: int = 10_000, include_start: bool = False,
+        max_rows: int | None = 20, row_offset: int = 0, include_counts: bool = False, candidate_limit: int | None = 10_000, include_start: bool = False,
     ) -> DataFrame:
         tables = self._targets(target_table, target_tables)
         rows = self.traverse_search(property_key, property_value, source_table, search_mode, case_sensitive, search_max_rows, search_row_offset, max_depth, edge_types, direction, None, None, tenant, "bfs", "node_per_root", include_start, False, candidate_limit, 0).drop("node").persist()
@@ -587,7 +594,7 @@ class Session(Admin):
             kept = kept.join(ok.select(F.col("label").alias("node_table"), F.col("id").alias("node_id")), ["node_table", "node_id"], "left_semi")
         total = kept.count() if include_counts else None
         order = ["root_table", "root_id", "depth", "node_table", "node_id"]
-        page = self.hydrated(kept.orderBy(*order).offset(row_offset).limit(max_rows))
+        page = self.hydrated(_first(kept.orderBy(*order).offset(row_offset), max_rows))
         return self._ranked(page, order, row_offset).select(
             "root_table", "root_id", "root_table_name", "node_table", "node_table_name", "node_id", "depth", F.lit(1.0).cast("float").alias("score"), "rank", "path", "edge_path",
             format_path_column(F.col("path"), F.col("edge_path")).alias("readable_path"), "node", F.lit(n if include_counts else None).cast("bigint").alias("candidate_count"), F.lit(total).cast("bigint").alias("filtered_count"), F.lit(n == candidate_limit or capped).alias("truncated"),
@@ -607,7 +614,7 @@ class Session(Admin):
                     return self.hydrated(rows).orderBy("step").select(*(c.split()[0] for c in schema.split(", ")))
         return self.rows([], schema)
 
-    def neighborhood(self, property_key: str, property_value: str, source_table: str | None = None, search_mode: str = "contains", search_max_rows: int = 1, max_depth: int = 4, edge_types: list[str] | None = None, direction: str = "any", tenant: str | None = None, sample_k: int = 5, node_limit: int = 10_000) -> DataFrame:
+    def neighborhood(self, property_key: str, property_value: str, source_table: str | None = None, search_mode: str = "contains", search_max_rows: int = 1, max_depth: int = 4, edge_types: list[str] | None = None, direction: str = "any", tenant: str | None = None, sample_k: int = 5, node_limit: int | None = 10_000) -> DataFrame:
         rows = self.traverse_search(property_key, property_value, source_table, search_mode, False, search_max_rows, 0, max_depth, edge_types, direction, None, None, tenant, "bfs", "node_global", True, False, node_limit, 0).drop("node").persist()
         cut = rows.count() == node_limit or not rows.where("capped").isEmpty()
         # The page is bounded by node_limit, and so is each list.

@@ -10,7 +10,8 @@ from trellis.errors import GraphError
 @dataclass
 class Settings:
     """Limits that bound single-machine memory in a database are optional here:
-    Spark spills, so ``row_cap`` is off unless it is set."""
+    Spark spills, so ``row_cap`` is off unless it is set.  ``max_nodes``,
+    ``max_frontier`` and ``max_exact_path_count`` of None are no limits."""
 
     enabled: bool = True
     memory_limit_mb: int = 2048
@@ -21,9 +22,9 @@ class Settings:
     default_search_mode: str = "contains"
     default_case_sensitive: bool = False
     default_hydrate: bool = True
-    max_nodes: int = 100_000
-    max_frontier: int = 100_000
-    max_exact_path_count: int = 100_000
+    max_nodes: int | None = 100_000
+    max_frontier: int | None = 100_000
+    max_exact_path_count: int | None = 100_000
     query_work_limit: int = 10_000_000
     operation_timeout_ms: int = 0
     build_batch_size: int = 10_000

@@ -9,7 +9,9 @@ The vocabulary of the corpus is aggregated first, and the model counts the
 pieces of each distinct pre-token once.  Its ``HEAD`` most frequent entries of
 at most ``HEAD_CHARS`` characters, a bounded table, go to all tasks, which add
 them up within a document; all other pre-tokens of a document join the counted
-vocabulary in a shuffle, with their frequencies.
+vocabulary in a shuffle, with their frequencies.  A pre-token of more than
+``LONG`` characters, as in text without spaces, is counted where it stands: it
+would be a shuffle key of any length.  Buffers are bounded by characters.
 
 Defined results: a null text is empty and has no tokens; repeated rows are
 counted one by one; extra columns are ignored; an empty table gives no rows.
@@ -32,7 +34,11 @@ from trellis.llm.tokens import tokenizer_path
 HEAD = 1 << 17
 HEAD_CHARS = 32
 LIMIT = 4096
+#: Characters of a pre-token that travels.
+LONG = 256
+#: Pre-tokens, and their characters, that a task holds before it sends them on.
 _FLUSH = 300_000
+_FLUSH_CHARS = 16 << 20
 _PIECE = re.compile(r"▁+[^▁\n]*|\n[^▁\n]*")
 
 
@@ -60,14 +66,23 @@ _FREQUENCIES = pa.schema([("pretoken", pa.string()), ("n", pa.int64())])
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
+    chars = 0
+
+    def rows() -> pa.RecordBatch:
+        tokens = [t for t in seen if len(t) <= LONG]
+        return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array([seen[t] for t in tokens], pa.int64())], schema=_FREQUENCIES)
+
     for batch in batches:
         for text in batch.column("text"):
-            seen.update(pretokens(text.as_py()))
-            if len(seen) >= _FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(seen.values(), pa.int64())], schema=_FREQUENCIES)
+            said = text.as_py()
+            seen.update(pretokens(said))
+            chars += len(said)  # no fewer than what the text adds
+            if len(seen) >= _FLUSH or (chars >= _FLUSH_CHARS and (chars := sum(map(len, seen))) >= _FLUSH_CHARS):
+                yield rows()
                 seen.clear()
+                chars = 0
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], schema=_FREQUENCIES)
+        yield rows()
 
 
 _COUNTED = pa.schema([("pretoken", pa.string()), ("n", pa.int64()), ("pieces", pa.int64())])
@@ -92,9 +107,9 @@ def vocabulary(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame
 _PARTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("rows", pa.int64()), ("n", pa.int64()), ("pretoken", pa.string())])
 
 
-def _parts(head):
+def _parts(head, name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known, model = head.value, pieces(name)
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             add = [c.append for c in columns]
@@ -103,6 +118,8 @@ def _parts(head):
                 for token, n in Counter(pretokens(text)).items():
                     if (one := known.get(token)) is not None:
                         total += one * n
+                    elif len(token) > LONG:
+                        total += count_pieces(model, [token])[0] * n
                     else:
                         for f, v in zip(add, (doc, key, 0, 0, n, token), strict=True):
                             f(v)
@@ -138,7 +155,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     counted = written(vocabulary(docs, model), "vocabulary")
     sent = spark.sparkContext.broadcast(dict(map(tuple, _common(counted, head).collect())))
     texts = only(docs).withColumn("text_hash", F.xxhash64("text"))
-    parts = texts.mapInArrow(_parts(sent), "doc_id long, text_hash long, n_bytes long, rows long, n long, pretoken string")
+    parts = texts.mapInArrow(_parts(sent, model), "doc_id long, text_hash long, n_bytes long, rows long, n long, pretoken string")
     found = parts.join(counted.select("pretoken", "pieces"), "pretoken", "left")
     # Rows alike in doc_id and text meet here: each has added its parts, so each gets an equal share.
     total = found.groupBy("doc_id", "text_hash").agg(

@@ -426,3 +426,75 @@ def test_pipeline(spark, tmp_path, odd):
     assert not any(t and "me@example.com" in t for t in texts)
     for name, stage in p.STAGES:
         assert stage(spark, spark.createDataFrame([], brute.AWKWARD), SF).count() == 0, name
+
+
+# -- texts that need care
+
+
+def test_long_runs_of_one_kind(spark):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [" " * 3_000_000, "a " + "\n \t" * 50_000 + "b", "x" * 100_000, "日本" * 20_000, "1" * 50_000]
+    rows = list(enumerate(texts))
+    for t in texts[1:]:
+        assert byte_ids()(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in idfiles.written_and_read(df).collect()} == {i: zlib.crc32(x.tobytes()) for i, x in want.items()}
+    pieces: dict[int, int] = {}
+    for r in packing.pack_documents(df).collect():
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    assert pieces == {i: len(x) for i, x in want.items()}
+    model = counts.pieces("piece_bpe_32k.model")
+    assert {r.doc_id: r.n_tokens for r in counts.count_tokens(df, head=3).collect()} == {i: len(model.encode(t)) for i, t in rows}
+
+
+def test_the_cheapest_sequence_with_room_is_found():
+    rnd = random.Random(8)
+    rooms = packing.Rooms(64, 12)
+    plain = {k: (64, 0.0) for k in range(12)}
+    for _ in range(3000):
+        length = rnd.randint(1, 64)
+        fit = [(at, k) for k, (room, at) in plain.items() if room >= length]
+        found = rooms.take(length)
+        if not fit:
+            assert found is None
+            break
+        at, k = min(fit)
+        assert found == (plain[k][0], at, k)
+        room = found[0] - length
+        if room:
+            rooms.put(room, at + packing.cost(length), k)
+            plain[k] = (room, at + packing.cost(length))
+        else:
+            del plain[k]
+
+
+def test_costs_balance_and_padding_is_small(spark, docs):
+    rnd = random.Random(3)
+    sizes = [max(1, min(2047, int(rnd.lognormvariate(5, 1)))) for _ in range(20_000)]
+    spent: dict[int, float] = {}
+    for _, _, length, sequence, _ in packing.pack(sizes):
+        spent[sequence] = spent.get(sequence, 0.0) + packing.cost(length)
+    costs = np.array(list(spent.values()))
+    assert costs.std() < 0.12 * costs.mean()
+    # Sequences don't depend on how the input is dealt.
+    a, b = (sorted(tuple(r) for r in packing.pack_documents(docs.repartition(k)).collect()) for k in (2, 7))
+    assert a == b
+
+
+def test_small_shards_and_seeking(spark, docs, tmp_path):
+    shards = idfiles.write_id_files(docs, f"file://{tmp_path}/ids", shard_tokens=5_000)
+    assert len(shards) > 8
+    assert idfiles.read_id_files(spark, shards).count() == docs.count()
+    for uri, _ in shards[::3]:
+        whole: dict = {}
+        for doc, ids, _ in idfiles.read_shard(uri):
+            whole.setdefault(doc, []).append(ids)
+        for doc, parts in whole.items():
+            assert (np.concatenate(idfiles.seek(uri, doc)) == np.concatenate(parts)).all()
+    assert idfiles.seek(shards[0][0], -5) == []
+    odd_rows = spark.createDataFrame([(None, "a"), (None, "b b"), (3, "c")], "doc_id long, text string")
+    (uri, _), *_ = idfiles.write_id_files(odd_rows.coalesce(1), f"file://{tmp_path}/odd")
+    assert len(idfiles.seek(uri, None)) + len(idfiles.seek(uri, 3)) >= 1

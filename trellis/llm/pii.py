@@ -8,8 +8,19 @@ away from anchors is never parsed.
 Base kinds, leftmost and non-overlapping within a kind: ``email``, ``ip``,
 ``card``, ``phone``.  Added kinds: ``url`` (a scheme or ``www.`` and what
 follows up to white space, a quote or an angle bracket, without closing
-punctuation) and ``account`` (the identifier that follows a cue such as
-``token`` or ``iban``: 6 characters or more with a digit).
+punctuation) and ``account``, what a cue such as ``token`` or ``IBAN`` names.
+Cues count in any case, with a space, hyphen or underscore inside; a word like
+``no.`` and one of ``:``, ``=``, ``#`` may stand between cue and value.  Each cue has its
+own parser of the value, printed in groups or not, and its boundary:
+
+* ``iban``: two letters, two check digits, 15 to 34 characters that give 1 modulo 97;
+* ``account``, ``acct``: 6 to 34 digits in groups;
+* ``ssn``: 3, 2 and 4 digits, none of the areas and groups that are never given out;
+* ``passport``: 6 to 9 capitals and digits;
+* the others, and ``account`` where it has no such digits, a run of 6 or more
+  letters, digits, ``_`` and ``-`` with a digit in it.
+
+A run is scanned once however many cues it holds, so time is linear in the text.
 
 Defined results: a null text is empty and has no spans; repeated rows are
 judged one by one; extra columns are ignored; an empty table gives no rows.
@@ -31,7 +42,10 @@ from trellis.llm.common import only
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 SCHEMES = ("http://", "https://", "ftp://", "www.")
-CUES = ("token", "api_key", "apikey", "secret", "password", "passwd", "iban", "account", "acct", "ssn", "passport")
+CUES = {
+    "token": "", "api key": "", "apikey": "", "access key": "", "secret": "", "password": "", "passwd": "",
+    "iban": "iban", "account": "digits", "acct": "digits", "ssn": "ssn", "social security": "ssn", "passport": "passport",
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +53,12 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>\[\]{}|\\^`]+")
-_VALUE = re.compile(r"(?:[ \t]{0,3}(?:no\.?|number|#|is))?[ \t]{0,3}[:=]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
+_LINK = re.compile(r"(?:[ \t_-]{0,3}(?:no\.?|nr\.?|num(?:ber)?|id|is|code|key)(?![a-z0-9_]))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?", re.I)
+_RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_DIGITS = re.compile(r"[0-9](?:[ -]?[0-9]){5,33}(?![A-Za-z0-9_]|[ -][0-9])")
+_SSN = re.compile(r"([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4})(?![A-Za-z0-9_]|-[0-9])")
+_PASSPORT = re.compile(r"(?=[A-Z]{0,8}[0-9])[A-Z0-9]{6,9}(?![A-Za-z0-9_])")
 _WORD = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -51,28 +70,75 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(text: str, at: int) -> int | None:
+    """Where the longest valid number of the place ends."""
+    if not (m := _IBAN.match(text, at)):
+        return None
+    value, n, found = 0, 0, None
+    head = ""
+    for i in range(at, m.end()):
+        c = text[i]
+        if c in " -":
+            continue
+        n += 1
+        if n <= 4:
+            head += c
+        else:
+            value = (value * (10 if c.isdigit() else 100) + int(c, 36)) % 97
+        if n > 34:
+            break
+        if n >= 15 and not (i + 1 < len(text) and _WORD.match(text[i + 1])) and int(f"{value}" + "".join(str(int(x, 36)) for x in head)) % 97 == 1:
+            found = i + 1
+    return found
+
+
+def ssn(text: str, at: int) -> int | None:
+    m = _SSN.match(text, at)
+    return m.end() if m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" else None
+
+
+def _end_of(pattern: re.Pattern):
+    def parse(text: str, at: int) -> int | None:
+        m = pattern.match(text, at)
+        return m and m.end()
+
+    return parse
+
+
+PARSERS = {"iban": iban, "ssn": ssn, "digits": _end_of(_DIGITS), "passport": _end_of(_PASSPORT)}
+
+
 def automaton():
-    """Anchor strings with their roles; cues in lower, upper and title case."""
+    """Anchor strings with their roles, for a lower-cased text."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
     for c in "@+0123456789":
         found.add_word(c, (c if c in "@+" else "0", 1))
     for scheme in SCHEMES:
-        for form in {scheme, scheme.upper(), scheme.capitalize()}:
-            found.add_word(form, ("url", len(form)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("account", len(form)))
+        found.add_word(scheme, ("url", len(scheme)))
+    for cue, kind in CUES.items():
+        for form in {cue.replace(" ", x) for x in " -_"}:
+            found.add_word(form, (f"account {kind}", len(form)))
     found.make_automaton()
     return found
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower(text: str) -> str:
+    """Lower case, place by place."""
+    out = text.lower()
+    return out if len(out) == len(text) else text.translate(_LOWER)
+
+
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as listed, then start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     after = dict.fromkeys(("email", "ip", "card", "phone", "url", "account"), 0)
-    for last, (role, size) in anchors.iter(text):
+    run = last_digit = 0  # where the last scanned run ends, and its last digit
+    for last, (role, size) in anchors.iter(lower(text)):
         at = last - size + 1
         if role == "0":
             if at >= after["ip"]:
@@ -103,10 +169,19 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                 after["url"] = m.end()
                 if end > last + 1:
                     out["url"].append((at, end))
-        elif at >= after["account"] and not (at and _WORD.match(text[at - 1])) and (m := _VALUE.match(text, last + 1)):
-            if any("0" <= c <= "9" for c in m[1]):
-                out["account"].append(m.span(1))
-                after["account"] = m.end()
+        elif at >= after["account"] and not (at and _WORD.match(text[at - 1])) and not (last + 1 < len(text) and text[last + 1].isalnum()):
+            start = _LINK.match(text, last + 1).end()
+            kind = role[8:]
+            end = PARSERS[kind](text, start) if kind else None
+            if end is None and kind in ("", "digits"):
+                if start >= run:
+                    run = m.end() if (m := _RUN.match(text, start)) else start
+                    last_digit = max(text.rfind(d, start, run) for d in "0123456789")
+                if run - start >= 6 and last_digit >= start and _RUN.match(text, start, start + 1):
+                    end = run
+            if end is not None:
+                out["account"].append((start, end))
+                after["account"] = end
     return [(k, s, e) for k in KINDS for s, e in out[k]]
 
 

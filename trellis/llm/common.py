@@ -27,6 +27,18 @@ def only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores added as keep it apart from
+    the columns of ``docs``, whatever their case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import only, text_chunks, written
+from trellis.llm.common import only, text_chunks, unused, written
 from trellis.llm.kernels import CHUNK_BYTES, U, gram_ids, pair, sliding_min, spans, widen
 
 LENGTH = 200
@@ -323,10 +323,16 @@ def _sort_offsets(length: int):
     return run
 
 
+def _check(length: int, gram: int) -> None:
+    if not 8 <= gram <= length or length - gram > 254:
+        raise ValueError("gram must be 8 or more, and length at most 254 beyond it")
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hold: int = HOLD) -> DataFrame:
     """(key, place, gram, kind) of every run of starts of repeated strings:
     ``place`` holds the first start (bits 32 and up), starts beyond it (bits
     24-31) and the row's tag (bits 0-13)."""
+    _check(length, gram)
     stored = _key(docs).select("key", "tag", "text").mapInArrow(_blocks(length, gram), "gram long, block long, key long, place long")
     dealt = stored.repartition("gram", "block").sortWithinPartitions("gram", "block")
     marks = written(dealt.mapInArrow(_refine(hold), "key long, place long, gram long, kind int"), "suffix-marks")
@@ -397,25 +403,26 @@ def cut(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def _cut_all(length: int):
+def _cut_all(length: int, runs: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            runs = batch.column("repeated_starts_").to_pylist()
-            texts = [t if t is None or not r else cut(t.encode(), *merged(np.array(r, np.int64), length)) for t, r in zip(batch.column(place).to_pylist(), runs, strict=True)]
+            found = batch.column(runs).to_pylist()
+            texts = [t if t is None or not r else cut(t.encode(), *merged(np.array(r, np.int64), length)) for t, r in zip(batch.column(place).to_pylist(), found, strict=True)]
             kept = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            yield kept.select([n for n in kept.schema.names if n != "repeated_starts_"])
+            yield kept.select([n for n in kept.schema.names if n != runs])
 
     return run
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hold: int = HOLD) -> DataFrame:
-    """The documents without their repeated bytes, all columns kept;
-    ``n_chars``, where there is one, follows the new text."""
-    starts = repeated_starts(docs, length, gram, group, hold).select("key", F.expr("place & 16383").alias("tag"), "place")
+    """The documents without their repeated bytes, all columns kept, whatever
+    their names; ``n_chars``, where there is one, follows the new text."""
+    key, tag, runs, own_key, own_tag = unused(docs, "key", "tag", "repeated_starts", "found_key", "found_tag")
+    starts = repeated_starts(docs, length, gram, group, hold).select(F.col("key").alias(own_key), F.expr("place & 16383").alias(own_tag), "place")
     # Of a document, at most one place for each of its bytes.
-    runs = starts.distinct().groupBy("key", "tag").agg(F.collect_list("place").alias("repeated_starts_"))
-    keyed = docs.withColumn("key_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))).withColumn("tag_", F.expr("hash(coalesce(text, '')) & 16383").cast("long"))
-    joined = keyed.join(runs, (keyed["key_"] == runs["key"]) & (keyed["tag_"] == runs["tag"]), "left").select(*[keyed[c] for c in docs.columns], "repeated_starts_")
-    out = joined.mapInArrow(_cut_all(length), docs.schema)
+    found = starts.distinct().groupBy(own_key, own_tag).agg(F.collect_list("place").alias(runs))
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))), tag: F.expr("hash(coalesce(text, '')) & 16383").cast("long")})
+    joined = keyed.join(found, (F.col(key) == F.col(own_key)) & (F.col(tag) == F.col(own_tag)), "left").select(*docs.columns, runs)
+    out = joined.mapInArrow(_cut_all(length, runs), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -1,17 +1,27 @@
 """BPE encoding and decoding with tree concatenation.
 
-Texts are normalised and split as the tokenizer's file says; a split of up to
-``LEAF`` symbols is merged at once and remembered.  A longer one is cut into
-leaves that are encoded in parallel; neighbours are then joined pairwise, up a
-tree: a window around the join is encoded anew and doubled until its first and
-its last token agree with what the two sides had there.
-
-That agreement is exact.  A sequence of tokens is the encoding of its text if
-and only if each pair of neighbours is the encoding of theirs: merges run in
-order of rank, then place, so those inside two neighbours come in the same
-order whether others run beside them or not, and the first merge across a
-boundary would happen in the pair alone as well.  Every pair of the joined
-sequence stands in an encoding: of the left, of the window or of the right.
+A long text is cut into leaves of ``LEAF`` characters, wherever they end; each is
+split and encoded by itself, and neighbours are joined pairwise, up a tree: a
+window around the join is split and encoded anew, and doubled until its first and
+its last split agree with what the two sides had there.  A split of more than
+``LEAF_SYMBOLS`` symbols, as in text without spaces, is encoded in the same way
+one level down: its parts go to the library as one batch, which encodes them in
+parallel, and are joined by windows of tokens.
+
+That agreement is exact.  The text is normalised as a whole before it is cut.
+Splitting then runs from left to right, and where a split ends depends on it and
+the next character alone, so a window that starts where a split of the left
+side starts finds what the whole text has, and once it ends a split where the
+right side ends the same one, the rest is as the right side had it.  Inside a
+split, a sequence of tokens is the encoding of its text if and only if each pair
+of neighbours is the encoding of theirs: merges run in order of rank, then
+place, so those inside two neighbours come in the same order whether others run
+beside them or not, and the first merge across a boundary would happen in the
+pair alone as well.  Every pair of the joined sequence stands in an encoding: of
+the left, of the window or of the right.
+
+Encodings of short splits are remembered.  A file whose normaliser, splitter or
+model differs from those that this relies on is refused.
 
 Defined results: a null text is empty and has no tokens; special strings inside
 texts become their ids; repeated rows are encoded one by one; extra columns are
@@ -25,6 +35,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +43,20 @@ from pyspark.sql import DataFrame
 from trellis.llm.common import only
 from trellis.llm.tokens import tokenizer_path
 
-LEAF = 512
+LEAF = 1024
+LEAF_SYMBOLS = 512
 WINDOW = 4
 REMEMBERED = 200_000
+#: What a file must say, as fixed values: how texts are normalised and split.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
 
 #: Texts of these characters alone take the short way: lower-casing and
 #: splitting are those of the tokenizer's file for each of them.
@@ -45,42 +67,83 @@ _SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø
 class TreeBpe:
     """A tokenizers file with BPE over byte-level symbols and word ends."""
 
-    def __init__(self, path: str, leaf: int = LEAF) -> None:
+    def __init__(self, path: str, leaf: int = LEAF, leaf_symbols: int = LEAF_SYMBOLS) -> None:
         import tokenizers
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.leaf = leaf
+        self.leaf, self.leaf_symbols, self.joins = leaf, leaf_symbols, 0
         self.whole = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if (spec["normalizer"], spec["pre_tokenizer"], {k: model.get(k) for k in MODEL}) != (NORMALIZER, SPLITTER, MODEL):
+            raise ValueError(f"{path} does not normalise, split or merge as this encoder does")
         vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model["end_of_word_suffix"] or ""
         #: Encodes the last part of a split, and any other part.
         self.final = tokenizers.Tokenizer(BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
         self.inner = tokenizers.Tokenizer(BPE(vocab, merges))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.token = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        self.joined_by = " " if spec["decoder"] is None else None
         self.symbols = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+
+    # -- a text as splits
+
+    def scan(self, text: str, plain: bool) -> list[str]:
+        """The splits of a normalised text."""
+        if plain:
+            return _SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
+
+    def splits(self, text: str) -> list[str]:
+        """The splits of a text without special strings, by tree concatenation."""
+        plain = _PLAIN.fullmatch(text) is not None
+        text = text.lower() if plain else self.whole.normalizer.normalize_str(text)
+        if len(text) <= self.leaf:
+            return self.scan(text, plain)
+        nodes = [(self.scan(text[i : i + self.leaf], plain), i, min(i + self.leaf, len(text))) for i in range(0, len(text), self.leaf)]
+        while len(nodes) > 1:
+            last = len(nodes) - 1
+            nodes = [self.concatenate(text, plain, nodes[i], nodes[i + 1]) if i < last else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0][0]
+
+    def concatenate(self, text: str, plain: bool, one: tuple[list[str], int, int], two: tuple[list[str], int, int]) -> tuple[list[str], int, int]:
+        """The splits of two neighbouring parts of a text from theirs."""
+        left, begin, cut = one
+        right, _, end = two
+        size = WINDOW
+        self.joins += 1
+        while True:
+            a, b = min(size, len(left)), min(size, len(right))
+            first, last = cut, cut
+            # Between splits there is only white space, which no split has.
+            for s in reversed(left[len(left) - a :]) if a < len(left) else ():
+                first = text.rindex(s, begin, first)
+            for s in right[:b] if b < len(right) else ():
+                last = text.index(s, last, end) + len(s)
+            first, last = first if a < len(left) else begin, last if b < len(right) else end
+            window = self.scan(text[first:last], plain)
+            if (a == len(left) or (window and window[0] == left[-a])) and (b == len(right) or (window and window[-1] == right[b - 1])):
+                left[len(left) - a :] = window
+                left += right[b:]
+                return left, begin, end
+            size *= 2
 
-    def splits(self, text: str) -> tuple[list[str], bool]:
-        """The splits of a text without special strings, and whether they are in symbols."""
-        if _PLAIN.fullmatch(text):
-            return _SPLIT.findall(text.lower()), False
-        text = self.whole.normalizer.normalize_str(text)
-        return [s for s, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)], True
+    # -- a split as tokens
 
     def spell(self, ids: list[int], last: bool) -> str:
         text = "".join(map(self.token.__getitem__, ids))
         return text[: len(text) - len(self.suffix)] if last and self.suffix else text
 
     def encode_split(self, symbols: str) -> list[int]:
-        if len(symbols) <= self.leaf:
+        step = self.leaf_symbols
+        if len(symbols) <= step:
             return self.final.encode(symbols, add_special_tokens=False).ids
-        cuts = [symbols[i : i + self.leaf] for i in range(0, len(symbols), self.leaf)]
+        cuts = [symbols[i : i + step] for i in range(0, len(symbols), step)]
         parts = [e.ids for e in self.inner.encode_batch(cuts[:-1], add_special_tokens=False)]
         parts.append(self.final.encode(cuts[-1], add_special_tokens=False).ids)
         while len(parts) > 1:
@@ -91,6 +154,7 @@ class TreeBpe:
     def join(self, left: list[int], right: list[int], last: bool) -> list[int]:
         """The encoding of two neighbours' text from theirs; ``last``: the split ends here."""
         size = WINDOW
+        self.joins += 1
         while True:
             a, b = min(size, len(left)), min(size, len(right))
             ends = last and b == len(right)
@@ -100,36 +164,36 @@ class TreeBpe:
                 return left[: len(left) - a] + ids + right[b:]
             size *= 2
 
-    def entry(self, split: str, symbols: bool) -> tuple[int, str, str]:
-        """Number of tokens, ids and token strings of a split, remembered."""
-        key = "\0" + split if symbols else split
-        if (found := self.known.get(key)) is None:
-            spelled = split if symbols or split.isascii() else self.symbols.pre_tokenize_str(split)[0][0]
+    def entry(self, split: str) -> tuple[str, tuple[int, ...]]:
+        """The ids of a split, as text too, remembered."""
+        if (found := self.known.get(split)) is None:
+            spelled = split if split.isascii() and split.isprintable() else self.symbols.pre_tokenize_str(split)[0][0]
             ids = self.encode_split(spelled)
-            found = (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            found = (" ".join(map(str, ids)), tuple(ids))
             if len(split) <= 64:
-                self.known[key] = found
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[split] = found
         return found
 
-    def entries(self, text: str) -> list[tuple[int, str, str]]:
-        out: list[tuple[int, str, str]] = []
-        for part in self.specials.split(text) if "<|" in text else (text,):
+    def entries(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        out: list[tuple[str, tuple[int, ...]]] = []
+        known = self.known
+        for part in self.specials.split(text) if self.specials and "<|" in text else (text,):
             if part in self.special:
-                out.append((1, str(self.special[part]), part))
+                out.append((str(self.special[part]), (self.special[part],)))
             elif part:
-                splits, symbols = self.splits(part)
-                known = {} if symbols else self.known
-                out += [known.get(s) or self.entry(s, symbols) for s in splits]
+                out += [known.get(s) or self.entry(s) for s in self.splits(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(" ")]
+        return list(chain.from_iterable([ids for _, ids in self.entries(text)]))
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
-        return " ".join(map(self.token.__getitem__, ids))
+        if self.joined_by is None:
+            return self.whole.decode(ids, skip_special_tokens=False)
+        return self.joined_by.join(map(self.token.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -145,13 +209,14 @@ def _digests(name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tree_bpe(name)
         for batch in batches:
-            counts, ids, texts = [], [], []
+            counts, digests, texts = [], [], []
             for text in batch.column("text"):
                 found = bpe.entries(text.as_py())
-                counts.append(sum(x[0] for x in found))
-                ids.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], schema=_DIGESTS)
+                ids = list(chain.from_iterable([x for _, x in found]))
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(" ".join([x for x, _ in found]).encode()).hexdigest())
+                texts.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts)], schema=_DIGESTS)
 
     return run
 

@@ -21,16 +21,27 @@ a distance of at most ``r``.
    fetched for these parts alone.
 4. *Windows.*  In a region, points are sorted by their exact distance to the
    pivot.  Points whose distances differ by more than ``r`` cannot link; all
-   others are compared block by block inside the window, exactly, and every
-   pair that links is a row, whether other links connect it already or not.
-5. *Recursion.*  A region too large for one task is split into cells of points;
-   each pair of cells is a smaller region with a pivot and windows of its own.
+   others are compared block by block inside the window, exactly.
+5. *Recursion.*  A region too large for one task chooses pivots of its own, by a
+   hash.  Each point goes to the cell of its nearest pivot (its Voronoi cell), and
+   is replicated to the cells of lesser pivots that are at most ``2 r`` further
+   away: by the triangle inequality, both ends of a link meet in the cell of the
+   lesser of their two nearest pivots.  Only keys are replicated while cells are
+   chosen.  Cells are regions with pivots and windows of their own, down to those
+   that one task joins.  Where windows overlap so much that cells hold over
+   ``SPREAD`` times the points, as in one family of near copies, pivots cannot
+   separate them: that region is joined by pairs of blocks of ``BLOCK`` points.
+
+A pair that meets in several regions counts in that of the least pivot that its
+ends share, and in one cell there, so each link counts once and no task holds
+or sends all pairs.  A task sends, for each point, its number of links, and of
+the links a spanning forest; ``point_links`` gives every pair instead.
+Components of the forests come from rounds of smallest-neighbour contraction; a
+document's number of links counts each document of a linked point, and the
+other copies of its own.
 
 The order of shingles counts them in ``2 ** SKETCH_BITS`` classes over all
 documents; any order is exact, this one keeps frequent shingles out of use.
-A link found in several regions is kept once.  Components of the links come
-from rounds of smallest-neighbour contraction; a document's number of links
-counts each document of a linked point, and the other copies of its own.
 
 Shingles are 64-bit identifiers.  Words are runs of bytes other than the six
 white-space bytes, A-Z lower-cased; a text with fewer words than ``n`` is one
@@ -52,14 +63,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import only, text_chunks, written
+from trellis.llm.common import only, text_chunks, unused, written
 from trellis.llm.kernels import U, mix, pair, shingle_ids, word_ids
 
 SKETCH_BITS = 16
 #: Points of a region that one task joins; larger regions are split into cells.
 REGION = 1024
+#: Cells may hold this many times a region's points; a region beyond it is joined
+#: by pairs of blocks of ``BLOCK`` points.
+SPREAD = 2.0
+BLOCK = 4 * REGION
+#: Pivots that a large region chooses at most.
+PIVOTS = 16
 CLASSES = 256
-_CELL = REGION // 2
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,9 +276,10 @@ def _possible(threshold: tuple[int, int], region: int):
     return run
 
 
-_CELLS = pa.schema([("cell", pa.string()), ("point", pa.int64()), ("pivot", pa.int64()), ("packed", pa.binary())])
-_TEXTS = pa.schema([("point", pa.int64()), ("kind", pa.int32()), ("pivot", pa.int64()), ("cells", pa.int32()), ("packed", pa.binary())])
-TEXTS = "point long, kind int, pivot long, cells int, packed binary"
+_CELLS = pa.schema([("cell", pa.string()), ("point", pa.int64()), ("copies", pa.int64()), ("lesser", pa.binary()), ("trail", pa.binary()), ("block", pa.int32()), ("packed", pa.binary())])
+CELLS = "cell string, point long, copies long, lesser binary, trail binary, block int, packed binary"
+_TEXTS = pa.schema([("point", pa.int64()), ("kind", pa.int32()), ("pivot", pa.int64()), ("use", pa.bool_()), ("copies", pa.int64()), ("packed", pa.binary())])
+TEXTS = "point long, kind int, pivot long, use boolean, copies long, packed binary"
 
 
 def _texts(n: int):
@@ -275,122 +292,286 @@ def _texts(n: int):
                 keep = points >= 0
                 points, once = points[keep], once[keep]
                 data = buf.tobytes()
-                k = len(points)
+                zero = pa.array(np.zeros(len(points), np.int64))
                 packed = pa.array([pack.compress(data[off[i] : off[i + 1]]) for i in once], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int32)), packed], schema=_TEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array(points), zero.cast(pa.int32()), zero, pa.array(np.zeros(len(points), np.bool_)), zero, packed], schema=_TEXTS)
 
     return run
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams each point's text (kind 0), then its regions: a row for each cell it goes to."""
+    """Streams each point's text (kind 0), then its regions by pivot: a row for
+    each region in use, with the lesser pivots of the point."""
     now, text = None, None
+    before: list[int] = []
     rows: list[tuple] = []
     for batch in batches:
         packed = batch.column("packed")
-        for i, (point, kind, pivot, cells) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("point", "kind", "pivot", "cells")), strict=True)):
+        for i, (point, kind, pivot, use, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("point", "kind", "pivot", "use", "copies")), strict=True)):
             if kind == 0:
                 if point != now:
-                    now, text = point, packed[i].as_py()
+                    now, text, before = point, packed[i].as_py(), []
                 continue
-            own = int(mix(np.array([point], U))[0]) % cells
-            for other in range(cells):
-                a, b = sorted((own, other))
-                if cells == 1 or point != pivot:
-                    rows.append((f"{pivot}:{a}:{b}", point, pivot, text))
-                if cells == 1:
-                    break
-            if cells > 1 and point == pivot:  # the pivot goes to all cells
-                rows += [(f"{pivot}:{a}:{b}", point, pivot, text) for a in range(cells) for b in range(a, cells)]
+            if use:
+                rows.append((str(pivot), point, copies, np.array(before, np.int64).tobytes(), b"", 0, text))
+            before.append(pivot)
             if len(rows) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CELLS.types, strict=True)], schema=_CELLS)
+                yield _rows(rows, _CELLS)
                 rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CELLS.types, strict=True)], schema=_CELLS)
+        yield _rows(rows, _CELLS)
+
+
+_ASSIGNED = pa.schema([("cell", pa.string()), ("point", pa.int64()), ("nearest", pa.int64()), ("child", pa.int64())])
+
+
+def unpacked(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    data = [unpack.decompress(t) for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    ids, ends = sets_of(*spaced(np.frombuffer(b"".join(data), np.uint8), off), n)
+    return np.split(ids, ends[:-1])
+
+
+def cells_of(sets: list[np.ndarray], points: list[int], pivots: list[int], own: list[np.ndarray], r: float) -> Iterator[tuple[int, int, int]]:
+    """(point, nearest pivot, cell) of each point: its Voronoi cell, and those of
+    lesser pivots whose window reaches it.  ``pivots`` ascend."""
+    ids = np.unique(np.concatenate(own))
+    has = np.zeros((len(pivots), len(ids)), bool)
+    for k, s in enumerate(own):
+        has[k, np.searchsorted(ids, s)] = True
+    size = np.array([len(s) for s in own])
+    for point, s in zip(points, sets, strict=True):
+        at = np.searchsorted(ids, s)
+        at[at == len(ids)] = 0
+        common = has[:, at[ids[at] == s]].sum(axis=1)
+        distance = 1 - common / (size + len(s) - common)
+        k = int(distance.argmin())
+        yield point, pivots[k], pivots[k]
+        for j in np.flatnonzero(distance[:k] <= distance[k] + 2 * r + 1e-9):
+            yield point, pivots[k], pivots[j]
+
+
+def _assign(n: int, threshold: tuple[int, int]):
+    """Streams, for a part of a region, its pivots (kind 0) and then its points."""
+    r = 1 - threshold[0] / threshold[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots, own, points, texts = None, [], [], [], []
+
+        def settle() -> pa.RecordBatch:
+            nonlocal own, points, texts
+            if len(own) < len(pivots):
+                own = unpacked(own_texts, n)
+            rows = [(now[0], *x) for x in cells_of(unpacked(texts, n), points, pivots, own, r)]
+            points, texts = [], []
+            return _rows(rows, _ASSIGNED)
+
+        own_texts: list[bytes] = []
+        for batch in batches:
+            packed = batch.column("packed")
+            for i, (cell, part, kind, point) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "kind", "point")), strict=True)):
+                if (cell, part) != now:
+                    if points:
+                        yield settle()
+                    now, pivots, own, own_texts = (cell, part), [], [], []
+                if kind == 0:
+                    pivots.append(point)
+                    own_texts.append(packed[i].as_py())
+                    continue
+                points.append(point)
+                texts.append(packed[i].as_py())
+                if len(points) >= 1024:
+                    yield settle()
+        if points:
+            yield settle()
+
+    return run
+
+
+def _split(rows: DataFrame, n: int, threshold: tuple[int, int], region: int) -> Iterator[DataFrame]:
+    """Tables of rows of cells that one task joins, from those of large regions."""
+    r_rows, block = written(rows, "regions"), 4 * region
+    while True:
+        sizes = written(r_rows.groupBy("cell").agg(F.count("*").alias("points")), "region-sizes")
+        yield r_rows.join(sizes.where(F.col("points") <= region), "cell", "left_semi")
+        large = sizes.where(F.col("points") > region)
+        if large.isEmpty():
+            return
+        chance = F.least(F.lit(PIVOTS), F.ceil(F.col("points") / region) + 1) / F.col("points")
+        dealt = r_rows.join(large, "cell").select("cell", "point", "packed", "points", F.xxhash64("point", "cell").alias("draw"))
+        low = written(dealt.groupBy("cell").agg(F.min("draw").alias("low")), "region-low")
+        parts = F.ceil(F.col("points") / region).cast("int")
+        chosen = dealt.join(low, "cell").where((F.col("draw") == F.col("low")) | (F.col("draw") / F.lit(2.0**63) < 2 * chance - 1))
+        pivots = chosen.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), "point", "packed")
+        members = dealt.select("cell", F.pmod(F.xxhash64("draw"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "point", "packed")
+        streams = pivots.unionByName(members).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind", "point")
+        assigned = written(streams.mapInArrow(_assign(n, threshold), "cell string, point long, nearest long, child long"), "region-cells")
+        children = assigned.groupBy("cell", "child").agg(F.count("*").alias("held")).groupBy("cell").agg(F.sum("held").alias("held"), F.max("held").alias("most"))
+        split = written(large.join(children, "cell").select("cell", "points", ((F.col("held") <= SPREAD * F.col("points")) & (F.col("most") < 0.9 * F.col("points"))).alias("ok")), "region-splits")
+        # Pairs of blocks: a point goes to each pair that its block is in.
+        many = F.ceil(F.col("points") / block).cast("int")
+        own = F.col("block")
+        pairs = r_rows.drop("block").join(split.where("not ok"), "cell").withColumn("block", F.pmod(F.xxhash64("point"), many).cast("int"))
+        pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+        yield pairs.withColumn("cell", F.concat_ws("|", "cell", F.least(own, "other"), F.greatest(own, "other"))).select(*_CELLS.names)
+        if split.where("ok").isEmpty():
+            return
+        keys = assigned.join(split.where("ok").select("cell"), "cell", "left_semi")
+        down = keys.join(r_rows, ["cell", "point"]).withColumns({"cell": F.concat_ws("/", "cell", "child"), "trail": F.concat("trail", F.unhex(F.lpad(F.hex("nearest"), 16, "0")))})
+        r_rows = written(down.select(*_CELLS.names), "regions")
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return threshold[1] * common >= threshold[0] * (a + b - common)
 
 
-def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int], block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Both ends of every link between the points of a region, each link once."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    # Shingles of one set alone don't matter; the others get columns.
-    ids, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), size)
-    shared = count >= 2
-    column = (np.cumsum(shared) - 1)[column[use]] if (use := shared[column]).any() else np.empty(0, np.int64)
-    row = row[use]
-    begin = np.searchsorted(row, np.arange(m + 1))
-    width = int(shared.sum())
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    mark = np.zeros(width, bool)
-    mark[column[begin[pivot] : begin[pivot + 1]]] = True
-    common = np.bincount(row, mark[column], minlength=m).astype(np.int64) if len(column) else np.zeros(m, np.int64)
-    distance = 1 - common / (size + size[pivot] - common)
-    distance[pivot] = 0
-    order = np.argsort(distance, kind="stable")
-    r = 1 - threshold[0] / threshold[1] + 1e-9
-    cuts = range(0, m, block)
+class _Sparse:
+    """Sets as rows of a matrix; elements of one set alone get no column."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        m = len(sets)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), [len(s) for s in sets])
+        use = (count >= 2)[column] if len(column) else np.empty(0, bool)
+        self.column = (np.cumsum(count >= 2) - 1)[column[use]]
+        self.row = row[use]
+        self.begin = np.searchsorted(self.row, np.arange(m + 1))
+        self.width = int((count >= 2).sum())
+
+    def of(self, x: int) -> np.ndarray:
+        return self.column[self.begin[x] : self.begin[x + 1]]
 
-    def dense(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    def columns(self, rows: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([self.of(x) for x in rows]))
+
+    def dense(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(columns)), np.float32)
-        for k, x in enumerate(rows):
-            c = column[begin[x] : begin[x + 1]]
+        for k, x in enumerate(rows if len(columns) else ()):
+            c = self.of(x)
             at = np.searchsorted(columns, c)
             at[at == len(columns)] = 0
             out[k, at[columns[at] == c]] = 1
         return out
 
-    for a in cuts:
+
+def join_region(sets: list[np.ndarray], pivot: int, threshold: tuple[int, int], block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both ends of every link between the points of a region, each link once,
+    in batches of at most ``block`` by ``block``."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    matrix = _Sparse(sets)
+    mark = np.zeros(matrix.width, bool)
+    mark[matrix.of(pivot)] = True
+    common = np.bincount(matrix.row, mark[matrix.column], minlength=m).astype(np.int64) if matrix.width else np.zeros(m, np.int64)
+    distance = 1 - common / (size + size[pivot] - common)
+    distance[pivot] = 0
+    order = np.argsort(distance, kind="stable")
+    r = 1 - threshold[0] / threshold[1] + 1e-9
+    for a in range(0, m, block):
         left = order[a : a + block]
-        columns = np.unique(np.concatenate([column[begin[x] : begin[x + 1]] for x in left])) if len(column) else column
+        columns = matrix.columns(left)
         if not len(columns):
             continue
-        one = dense(left, columns)
-        for b in cuts:
-            if b < a:
-                continue
+        one = matrix.dense(left, columns)
+        for b in range(a, m, block):
             right = order[b : b + block]
             if distance[right[0]] - distance[left[-1]] > r:
                 break  # and so are all further blocks
-            both = (one @ (one if a == b else dense(right, columns)).T).astype(np.int64)
+            both = (one @ (one if a == b else matrix.dense(right, columns)).T).astype(np.int64)
             i, j = np.nonzero(linked(both, size[left][:, None], size[right][None, :], threshold))
             once = i < j if a == b else slice(None)
-            found.append((left[i[once]], right[j[once]]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+            if len(i):
+                yield left[i[once]], right[j[once]]
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class Forest:
+    """Joins of disjoint sets; ``add`` keeps the pairs that join two."""
 
+    def __init__(self, m: int) -> None:
+        self.parent = np.arange(m)
+        self.edges: list[tuple[int, int]] = []
 
-def _join(n: int, threshold: tuple[int, int]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        cell, points, texts, pivot = None, [], [], None
+    def roots(self) -> np.ndarray:
+        while (up := self.parent[self.parent]).tolist() != self.parent.tolist():
+            self.parent = up
+        return self.parent
 
-        def settle() -> pa.RecordBatch:
-            data = [unpack.decompress(t) for t in texts]
-            off = np.concatenate(([0], np.cumsum([len(d) for d in data])))
-            ids, ends = sets_of(*spaced(np.frombuffer(b"".join(data), np.uint8), off), n)
-            sets = np.split(ids, ends[:-1])
-            own = np.array(points, np.int64)
-            a, b = (own[x] for x in join_region(sets, points.index(pivot), threshold))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            top = self.roots()
+            apart = np.flatnonzero(top[i] != top[j])
+            if not len(apart):
+                return
+            # One pair for each greater root: no cycle can come of them.
+            high, low = np.maximum(top[i[apart]], top[j[apart]]), np.minimum(top[i[apart]], top[j[apart]])
+            _, first = np.unique(high, return_index=True)
+            self.parent[high[first]] = low[first]
+            self.edges += zip(i[apart[first]].tolist(), j[apart[first]].tolist(), strict=True)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+LINKS = "a long, b long, n long"
+
+
+def _join(n: int, threshold: tuple[int, int], pairs: bool):
+    """Rows (a, b, null) of a spanning forest and (a, null, number of links), or
+    with ``pairs`` (a, b, null) of every link that counts in this cell."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: str | None = None
+        rows: list[tuple] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            m = len(rows)
+            points = np.array([r[0] for r in rows], np.int64)
+            copies = np.array([r[1] for r in rows], np.int64)
+            path, *of = now.split("|")
+            cells = path.split("/")
+            trails = np.array([np.frombuffer(r[3], ">i8") for r in rows], np.int64).reshape(m, len(cells) - 1)
+            blocks = np.array([r[4] for r in rows])
+            lesser = _Sparse([np.frombuffer(r[2], np.int64) for r in rows])
+            every = np.arange(lesser.width)
+            at = np.flatnonzero(points == int(cells[-1]))
+            forest, count = Forest(m), np.zeros(m, np.int64)
+            for i, j in join_region(unpacked([r[5] for r in rows], n), int(at[0]) if len(at) else 0, threshold):
+                forest.add(i, j)
+                counts = np.ones(len(i), bool)
+                for level, cell in enumerate(cells[1:]):
+                    counts &= np.minimum(trails[i, level], trails[j, level]) == int(cell)
+                if of:
+                    counts &= (np.minimum(blocks[i], blocks[j]) == int(of[0])) & (np.maximum(blocks[i], blocks[j]) == int(of[1]))
+                if lesser.width:  # those that share a lesser pivot count there
+                    x, a = np.unique(i, return_inverse=True)
+                    y, b = np.unique(j, return_inverse=True)
+                    counts &= (lesser.dense(x, every) @ lesser.dense(y, every).T)[a, b] == 0
+                i, j = i[counts], j[counts]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(points[i], points[j])), pa.array(np.maximum(points[i], points[j])), pa.nulls(len(i), pa.int64())], schema=_LINKS)
+                else:
+                    count += np.bincount(i, copies[j], minlength=m).astype(np.int64) + np.bincount(j, copies[i], minlength=m).astype(np.int64)
+            if not pairs:
+                a, b = (points[np.array(x, np.int64)] for x in (zip(*forest.edges, strict=True) if forest.edges else ([], [])))
+                some = np.flatnonzero(count)
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=_LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array(points[some]), none, pa.array(count[some])], schema=_LINKS)
 
         for batch in batches:
             packed = batch.column("packed")
-            for i, (c, point, p) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cell", "point", "pivot")), strict=True)):
-                if c != cell:
-                    if len(points) > 1:
-                        yield settle()
-                    cell, points, texts, pivot = c, [], [], p
-                points.append(point)
-                texts.append(packed[i].as_py())
-        if len(points) > 1:
-            yield settle()
+            for i, (cell, *r) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cell", "point", "copies", "lesser", "trail", "block")), strict=True)):
+                if cell != now:
+                    if len(rows) > 1:
+                        yield from settle()
+                    now, rows = cell, []
+                rows.append((*r, packed[i].as_py()))
+        if len(rows) > 1:
+            yield from settle()
 
     return run
 
@@ -420,13 +601,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def point_links(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, point, size) of each document, and (a, b) of every link between
-    two points, each once, ``a`` below ``b``; ``threshold`` is a fraction."""
+def _linked(docs: DataFrame, n: int, threshold: tuple[int, int], region: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, point, size) of each document, (point, copies) of those with
+    copies, and what ``_join`` says of all cells."""
     spark = docs.sparkSession
     texts = only(docs)
     scan = written(texts.mapInArrow(_sets(n, SKETCH_BITS), "doc_id long, point long, size long, sketch boolean, vector binary"), "sets")
     points = scan.where("not sketch").select("doc_id", "point", "size")
+    copies = written(points.where("point >= 0").groupBy("point").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for k, c in scan.where("sketch").groupBy("point").agg(F.sum("size")).collect():  # one row for each class at most
         counts[k] = c
@@ -438,35 +620,42 @@ def point_links(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 1
     near = members.unionByName(members.select("pivot", F.col("pivot").alias("point")).distinct()).join(known, "point").select("pivot", "point", "size", "vector")
     possible = near.repartition("pivot").sortWithinPartitions("pivot", "point").mapInArrow(_possible(threshold, region), "pivot long, point long")
     members = written(possible.where("pivot != point").distinct(), "members")
-    regions = members.groupBy("pivot").agg((F.count("*") + 1).alias("points")).select("pivot", F.when(F.col("points") <= region, 1).otherwise(F.ceil(F.col("points") / (region // 2))).cast("int").alias("cells"))
-    placed = members.join(regions, "pivot").select("point", "pivot", "cells").unionByName(regions.select(F.col("pivot").alias("point"), "pivot", "cells"))
-    marks = placed.select("point", F.lit(1).alias("kind"), "pivot", "cells", F.lit(None).cast("binary").alias("packed"))
-    rows = texts.select("text").mapInArrow(_texts(n), TEXTS).unionByName(marks)
-    cells = rows.repartition("point").sortWithinPartitions("point", "kind").mapInArrow(_place, "cell string, point long, pivot long, packed binary")
-    links = cells.repartition("cell").sortWithinPartitions("cell", "point").mapInArrow(_join(n, threshold), "a long, b long")
-    return points, written(links.distinct(), "links")
-
-
-def _numbers(points: DataFrame, links: DataFrame) -> DataFrame:
-    """(point, n_links) of each point with links or copies: the documents that
-    each of its own links with."""
-    copies = points.where("point >= 0").groupBy("point").agg(F.count("*").alias("copies")).where("copies > 1")
-    copies = written(copies, "copies")
-    ends = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
-    others = ends.join(copies.select(F.col("point").alias("other"), "copies"), "other", "left")
-    to_others = others.groupBy("point").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
-    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
-    return to_others.join(copies, "point", "full").select("point", n_links.alias("n_links"))
+    regions = written(members.groupBy("pivot").agg((F.count("*") + 1).alias("points")), "region-sizes")
+    placed = members.join(regions, "pivot").select("point", "pivot", "points").unionByName(regions.select(F.col("pivot").alias("point"), "pivot", "points"))
+    placed = written(placed.join(copies, "point", "left").select("point", "pivot", "points", F.coalesce("copies", F.lit(1)).alias("copies")), "placed")
+
+    def rows(marks: DataFrame, use) -> DataFrame:
+        marks = marks.select("point", F.lit(1).alias("kind"), "pivot", use.alias("use"), "copies", F.lit(None).cast("binary").alias("packed"))
+        both = texts.select("text").mapInArrow(_texts(n), TEXTS).unionByName(marks)
+        return both.repartition("point").sortWithinPartitions("point", "kind", "pivot").mapInArrow(_place, CELLS)
+
+    small = F.col("points") <= region
+    cells = rows(placed, small)
+    if not regions.where(~small).isEmpty():
+        inside = placed.join(placed.where(~small).select("point").distinct(), "point", "left_semi")
+        for part in _split(rows(inside, ~small), n, threshold, region):
+            cells = cells.unionByName(part)
+    found = cells.repartition("cell").sortWithinPartitions("cell", "point").mapInArrow(_join(n, threshold, pairs), LINKS)
+    return points, copies, written(found, "links")
+
+
+def point_links(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, point, size) of each document, and (a, b) of every link between
+    two points, each once, ``a`` below ``b``; ``threshold`` is a fraction."""
+    points, _, links = _linked(docs, n, threshold, region, True)
+    return points, links.select("a", "b")
 
 
 def similar_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), region: int = REGION, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document, and with
     ``count_links`` n_links, the number of other documents that it links with."""
-    points, links = point_links(docs, n, threshold, region)
-    labels = components(links)
+    points, copies, links = _linked(docs, n, threshold, region, False)
+    labels = components(written(links.where("b is not null").select("a", "b").distinct(), "forest"))
     extra = ["n_links"] if count_links else []
     if count_links:
-        labels = _numbers(points, links).join(labels, "point", "left")
+        to_others = links.where("b is null").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
+        n_links = F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+        labels = to_others.join(copies, "point", "full").select("point", n_links.alias("n_links")).join(labels, "point", "left")
     labelled = points.join(labels, "point", "left").select("doc_id", "size", F.coalesce("label", "point").alias("label"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra))
     # A table of its own: a large component's rows can then be split between tasks.
     least = written(labelled.where("label >= 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
@@ -479,9 +668,9 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 1
     stands for a row, and equal rows count as one."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = named.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    key = F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("row_key_", key)
-    found = similar_components(keyed.select(F.col("row_key_").alias("doc_id"), "text"), n, threshold)
-    others = found.where("doc_id != component_id").select(F.col("doc_id").alias("row_key_")).distinct()
-    kept = keyed.join(others, "row_key_", "left_anti")
-    return (kept if plain else kept.dropDuplicates(["row_key_"])).select(*docs.columns)
+    key, other = unused(docs, "row_key", "other_key")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
+    found = similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), n, threshold)
+    others = found.where("doc_id != component_id").select(F.col("doc_id").alias(other)).distinct()
+    kept = keyed.join(others, F.col(key) == F.col(other), "left_anti")
+    return (kept if plain else kept.dropDuplicates([key])).select(*docs.columns)

@@ -7,8 +7,12 @@ import os
 import duckdb
 import pytest
 
+from trellis import more_queries as more
 from trellis import queries as q
 
+QUERIES = q.queries() | more.queries()
+SQL = q.oracle_sql() | more.oracle_sql()
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -20,12 +24,12 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(q.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = q.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
-    if (sql := q.oracle_sql().get(name)) is None:
+    if (sql := SQL.get(name)) is None:
         return
     found = db.sql(sql)
     assert sorted(found.columns) == columns

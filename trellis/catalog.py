@@ -150,7 +150,7 @@ class Catalog:
             raise GraphError("semantic", f"{f.table}.{f.column} is not numeric")
         self.filters = [x for x in self.filters if (x.table, x.column) != (f.table, f.column)] + [f]
 
-    def change_edges(self, label: str, **changes: object) -> None:
+    def change_edges(self, label: str, /, **changes: object) -> None:
         if label not in {e.label for e in self.edges}:
             raise GraphError("semantic", f"unknown edge label {label}")
         self.edges = [replace(e, **{k: v for k, v in changes.items() if v is not None}) if e.label == label else e for e in self.edges]

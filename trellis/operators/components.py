@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from trellis.sources.storage import Levels
 
 
-def numbered(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``nid``, their place by table and id, from 0.
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with ``name``, their place in this order, from 0.
 
     A range shuffle sorts them; the numbers of rows of its partitions, all that
     reaches the driver, give each partition its first place."""
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = nodes.repartitionByRange(parts, "ord", "id").sortWithinPartitions("ord", "id").select("*", F.monotonically_increasing_id().alias("place"))
-    placed = placed.select("*", F.shiftright("place", 33).cast("int").alias("part")).persist()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    local = local.withColumn("_part", F.shiftright("_place", 33).cast("int")).persist()
     before, total = {}, 0
-    for part, n in sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
+    for part, n in sorted((r["_part"], r.n) for r in local.groupBy("_part").agg(F.count("*").alias("n")).collect()):
         before[part], total = total, total + n
-    first = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("part")] if before else F.lit(0)
-    return placed.select("label", "ord", "id", (F.col("place") - F.shiftleft(F.col("part").cast("bigint"), 33) + first).cast("bigint").alias("nid"))
+    first = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_part")] if before else F.lit(0)
+    return local.withColumn(name, (F.col("_place") - F.shiftleft(F.col("_part").cast("bigint"), 33) + first).cast("bigint")).drop("_place", "_part")
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``nid``, their place by table and id, from 0."""
+    return placed(nodes, ["ord", "id"], "nid").select("label", "ord", "id", "nid")
 
 
 def contracted(edges: DataFrame) -> DataFrame:

@@ -388,7 +388,8 @@ class Planner:
                 scope[r.var] = Binding("rels", r.var)
         scope[p.path] = Binding("path", "", None)
         if q.where is not None:
-            df = df.where(self.predicate(q.where, scope, self.with_properties(df, scope, q.where)))
+            df = self.with_properties(df, scope, q.where)
+            df = df.where(self.predicate(q.where, scope, df))
         return df, scope
 
     def with_properties(self, df: DataFrame, scope: Scope, expr: Any) -> DataFrame:

@@ -229,7 +229,7 @@ def _search(mode: str, value: str, sensitive: bool) -> Callable[[SparkSession, s
 
 
 def hydrated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").search("s_name", "supplier", "supplier", max_rows=50).select("node_id", F.get_json_object("node", "$.s_name").alias("name"))
+    return _session(spark, sf_dir, "geo").search("s_name", "supplier", "supplier", max_rows=None).select("node_id", F.get_json_object("node", "$.s_name").alias("name"))
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +284,7 @@ def path_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir, "geo").find("c_name", "customer", "customer", max_rows=30).select("node_id", "rank")
+    return _session(spark, sf_dir, "geo").find("c_name", "customer", "customer", max_rows=None).select("node_id", "rank")
 
 
 def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,22 +417,34 @@ OTHERS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
       for mode, value, sensitive, where in (
           ("contains", "L GI", False, "contains(lower(p_name), 'l gi')"), ("exact", "Blue Bolt", False, "lower(p_name) = 'blue bolt'"),
           ("prefix", "red w", True, "starts_with(p_name, 'red w')"), ("token", "gear hot", False, "regexp_matches(lower(p_name), '(^|[^a-z0-9])gear($|[^a-z0-9])') AND regexp_matches(lower(p_name), '(^|[^a-z0-9])hot($|[^a-z0-9])')"))),
-    ("hydrated_search", hydrated_search, "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier') ORDER BY node_id LIMIT 50"),
+    ("hydrated_search", hydrated_search, "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier')"),
     ("shortest_path", shortest_path, """
      WITH x AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5)
      SELECT 0 AS step, 'customer' AS node_table, CAST(c_custkey AS VARCHAR) AS node_id, CAST(NULL AS VARCHAR) AS edge_label FROM x
      UNION ALL SELECT 1, 'nation', CAST(n_nationkey AS VARCHAR), 'up' FROM x UNION ALL SELECT 2, 'region', CAST(n_regionkey AS VARCHAR), 'up' FROM x"""),
-    ("cheapest_path", cheapest_path, None),
+    ("cheapest_path", cheapest_path, """
+     WITH RECURSIVE e AS MATERIALIZED (SELECT si, di, min(w) AS w FROM (
+       SELECT 'o' || l_orderkey AS si, 'p' || l_partkey AS di, greatest(1, CAST(round(l_quantity) AS BIGINT)) AS w FROM lineitem
+       UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, greatest(1, CAST(round(l_quantity) AS BIGINT)) FROM lineitem
+       UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, greatest(1, CAST(round(l_quantity) AS BIGINT)) FROM lineitem) GROUP BY si, di),
+     ends AS (SELECT min(k) AS a, max(k) AS b FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS k FROM lineitem ORDER BY k LIMIT 2)),
+     best(n, c) USING KEY (n) AS (
+       SELECT 'o' || a, CAST(0 AS BIGINT) FROM ends
+       UNION SELECT e.di, min(best.c + e.w) FROM best JOIN e ON e.si = best.n LEFT JOIN recurring.best AS old ON old.n = e.di
+       WHERE best.c + e.w < coalesce(old.c, 1000000) AND best.c + e.w <= coalesce((SELECT r.c FROM recurring.best r, ends WHERE r.n = 'o' || b), 1000000) GROUP BY e.di)
+     SELECT max(c) AS cost FROM best, ends WHERE n = 'o' || b"""),
     ("component_stats", component_stats, _GEO_COMPONENTS + "SELECT CAST(count(DISTINCT comp) AS INTEGER) AS num_components, CAST(max(component_size) AS INTEGER) AS largest_component, CAST(count(*) FILTER (component_size = 1) AS INTEGER) AS num_isolated_nodes, CAST(count(*) AS INTEGER) AS total_active_nodes FROM z"),
     ("component_sizes", component_sizes, _GEO_COMPONENTS + "SELECT component_size, CAST(row_number() OVER (ORDER BY component_size DESC) AS INTEGER) AS rank FROM (SELECT comp, any_value(component_size) AS component_size FROM z GROUP BY comp) ORDER BY component_size DESC LIMIT 10"),
     ("component_members", component_members, _GEO_COMPONENTS + "SELECT node_table, node_id, CAST(component_size AS INTEGER) AS component_size FROM z"),
-    ("largest_component", largest_component, None),
+    ("largest_component", largest_component, _GEO_COMPONENTS + """
+     SELECT node_table, node_id FROM z WHERE comp = (
+       SELECT comp FROM z GROUP BY comp ORDER BY max(component_size) DESC, min({'t': node_table, 'i': node_id}) LIMIT 1)"""),
     ("isolated_nodes", isolated_nodes, _GEO_COMPONENTS + "SELECT node_table, node_id FROM z WHERE component_size = 1"),
     ("aggregate_nodes", _aggregate("returned_nodes"), "SELECT round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer WHERE c_nationkey = 3"),
     ("aggregate_parent_paths", _aggregate("chosen_parent_path"), "SELECT round(sum(c_acctbal * (1 + k)), 2) AS total, CAST(sum(1 + k) AS BIGINT) AS n FROM (SELECT c_acctbal, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS k FROM customer WHERE c_nationkey = 3)"),
     ("aggregate_all_paths", _aggregate("all_possible_paths"), "SELECT round(sum(c_acctbal * (1 + k)), 2) AS total, CAST(sum(1 + k) AS BIGINT) AS n FROM (SELECT c_acctbal, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS k FROM customer WHERE c_nationkey = 3)"),
     ("path_count", path_count, "SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 1) + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1) AS estimated_paths, true AS exact, false AS capped"),
-    ("find", find, "SELECT CAST(c_custkey AS VARCHAR) AS node_id, CAST(row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS INTEGER) AS rank FROM customer WHERE contains(lower(c_name), 'customer') ORDER BY node_id LIMIT 30"),
+    ("find", find, "SELECT CAST(c_custkey AS VARCHAR) AS node_id, CAST(row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS INTEGER) AS rank FROM customer WHERE contains(lower(c_name), 'customer')"),
     ("expand", expand, "SELECT 'supplier' AS node_table, CAST(s_suppkey AS VARCHAR) AS node_id, 2 AS depth, 'region:0 --in_region--> nation:' || n_nationkey || ' | nation:' || n_nationkey || ' --based_in--> supplier:' || s_suppkey AS readable_path, false AS truncated FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0"),
     ("find_related", find_related, "SELECT 'supplier' AS node_table, CAST(s_suppkey AS VARCHAR) AS node_id, 1 AS depth, count(*) OVER () AS filtered_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_2'"),
     ("readable_path", readable_path, """
@@ -443,9 +455,16 @@ OTHERS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("registered_edges", registered_edges, "SELECT * FROM (VALUES ('customer', 'c_nationkey', 'nation', 'up', false), ('nation', 'n_regionkey', 'region', 'up', false), ('orders', 'o_custkey', 'customer', 'up', false)) v(from_table, from_column, to_table, label, bidirectional)"),
     ("discovered", discovered, "SELECT * FROM (VALUES ('table', 'customer', 'key c_custkey'), ('edge', 'c_nationkey', 'customer.c_nationkey -> nation.n_nationkey'), ('table', 'nation', 'key n_nationkey'), ('edge', 'n_regionkey', 'nation.n_regionkey -> region.r_regionkey'), ('table', 'region', 'key r_regionkey')) v(item_type, item_name, details)"),
     ("built_counts", built_counts, "SELECT CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS INTEGER) AS node_count, CAST((SELECT count(*) FROM " + _GEO_EDGES + ") AS INTEGER) AS edge_count, false AS has_unidirectional_edges"),
-    ("json_rows", json_rows, None),
+    ("json_rows", json_rows, """SELECT '{"r":{"_id":{"table":"region","id":"' || r_regionkey || '"},"_labels":["region"],"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"},"k":"' || r_regionkey || '"}' AS row FROM region"""),
     ("compatible_dialect", compatible_dialect, "SELECT n_name AS nation FROM nation"),
-    ("compatibility", compatibility, None),
+    ("compatibility", compatibility, """SELECT * FROM (VALUES
+     ('node MATCH', 'supported', 'node patterns share the planner of gql()'),
+     ('single relationship MATCH', 'supported', 'directed, inbound, undirected, optional and bounded patterns share the planner'),
+     ('RETURN, WITH, ORDER BY, SKIP, LIMIT', 'supported', 'projection, order, paging, DISTINCT, aggregates and path functions share the planner'),
+     ('mapped writes', 'supported', 'CREATE, SET, REMOVE, DELETE, DETACH DELETE and MERGE for registered mappings'),
+     ('Cypher procedures and UNWIND', 'rejected', 'CALL, YIELD, UNWIND, FOREACH and procedures have no mapping to tables'),
+     ('Cypher DDL', 'rejected', 'indexes, constraints, databases and schemas belong to the tables'' owner'),
+     ('Full openCypher compatibility', 'not claimed', 'a narrow compatible dialect, not the whole language')) v(feature, status, notes)"""),
     ("log_replay", log_replay, "WITH n AS (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL VALUES (100, 'NEW', 1), (3, 'MOVED', 0)) SELECT r_regionkey AS region, count(*) AS nations, min(n_name) AS first FROM n JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
     ("overlay_writes", overlay_writes, "SELECT r_regionkey AS region, CASE WHEN r_regionkey = 0 THEN 'ZERO' WHEN r_regionkey <> 1 THEN r_name END AS name FROM region WHERE r_regionkey <> 2 UNION ALL VALUES (10, 'TEN'), (11, 'ELEVEN')"),
     ("snapshot_round_trip", snapshot_round_trip, "SELECT ty AS type, count(*) AS n FROM " + _GEO_EDGES + " GROUP BY ty"),

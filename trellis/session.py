@@ -264,8 +264,8 @@ class Session(Admin):
 
     def _roots(self, seeds: list[tuple[str, str]]) -> DataFrame:
         catalog = self.current.catalog
-        rows = [(catalog.ordinal(catalog.table(t).name), t, str(i)) for t, i in seeds]
-        out = self.rows(rows, "ord int, table string, id string")
+        rows = dict.fromkeys((catalog.ordinal(catalog.table(t).name), t, str(i)) for t, i in seeds)
+        out = self.rows(list(rows), "ord int, table string, id string")
         missing = out.join(self.graph().nodes.select(F.col("label").alias("table"), "id"), ["table", "id"], "left_anti").head()
         if missing is not None:
             raise GraphError("node_not_found", f"there is no node {missing.table}:{missing.id}")
@@ -556,21 +556,25 @@ class Session(Admin):
 
     # -- workflows
 
-    def find(self, property_key: str, property_value: str, table_name: str | None = None, mode: str = "contains", case_sensitive: bool = False, max_rows: int = 20, row_offset: int = 0, tenant: str | None = None) -> DataFrame:
+    def find(self, property_key: str, property_value: str, table_name: str | None = None, mode: str = "contains", case_sensitive: bool = False, max_rows: int | None = 20, row_offset: int = 0, tenant: str | None = None) -> DataFrame:
         rows = self.search(property_key, property_value, table_name, mode, case_sensitive, max_rows, row_offset, tenant, True)
-        return self._ranked(rows, ["node_table", "node_id"], row_offset).select("node_table", "node_table_name", "node_id", "match_type", "score", "verified", "rank", "node")
+        return self._ranked(rows, ["node_table", "node_id"], row_offset, max_rows).select("node_table", "node_table_name", "node_id", "match_type", "score", "verified", "rank", "node")
 
     @staticmethod
-    def _ranked(rows: DataFrame, order: list, row_offset: int) -> DataFrame:
+    def _ranked(rows: DataFrame, order: list, row_offset: int, max_rows: int | None) -> DataFrame:
+        """Numbers rows from 1: a page of bounded size in one task, all rows through a range shuffle."""
         from pyspark.sql import Window
 
-        return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + row_offset).cast("int"))  # of one page
+        if max_rows is None:
+            rows = comp.placed(rows, order, "rank")
+            return rows.withColumn("rank", (F.col("rank") + 1 + row_offset).cast("int"))
+        return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + row_offset).cast("int"))
 
     def expand(self, seed_table: str, seed_id: str, max_depth: int | None = None, edge_types: list[str] | None = None, direction: str = "any", target_table: str | None = None, target_tables: list[str] | None = None, where_node: Any = None, tenant: str | None = None, max_rows: int | None = 50, row_offset: int = 0, include_start: bool = False) -> DataFrame:
         tables = self._targets(target_table, target_tables)
         rows = self.traverse(seed_table, seed_id, max_depth, edge_types, direction, tables, where_node, tenant, include_start=include_start, max_rows=max_rows, row_offset=row_offset, hydrate=True).persist()
         full = rows.count() == max_rows
-        out = self._ranked(rows, ["root_table", "root_id", "depth", "node_table", "node_id"], row_offset)
+        out = self._ranked(rows, ["root_table", "root_id", "depth", "node_table", "node_id"], row_offset, max_rows)
         return out.select("root_table", "root_id", "root_table_name", "node_table", "node_table_name", "node_id", "depth", "rank", "path", "edge_path", format_path_column(F.col("path"), F.col("edge_path")).alias("readable_path"), "node", F.lit(full).alias("truncated"))
 
     @staticmethod
@@ -595,7 +599,7 @@ class Session(Admin):
         total = kept.count() if include_counts else None
         order = ["root_table", "root_id", "depth", "node_table", "node_id"]
         page = self.hydrated(_first(kept.orderBy(*order).offset(row_offset), max_rows))
-        return self._ranked(page, order, row_offset).select(
+        return self._ranked(page, order, row_offset, max_rows).select(
             "root_table", "root_id", "root_table_name", "node_table", "node_table_name", "node_id", "depth", F.lit(1.0).cast("float").alias("score"), "rank", "path", "edge_path",
             format_path_column(F.col("path"), F.col("edge_path")).alias("readable_path"), "node", F.lit(n if include_counts else None).cast("bigint").alias("candidate_count"), F.lit(total).cast("bigint").alias("filtered_count"), F.lit(n == candidate_limit or capped).alias("truncated"),
         )
@@ -624,7 +628,17 @@ class Session(Admin):
     # -- helpers
 
     def rows(self, rows: list, schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        """A local table; through Arrow the planner knows its size and may broadcast it."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        types = StructType.fromDDL(schema)
+        if not rows or any(t.typeName() in ("timestamp", "struct") for t in (f.dataType for f in types)):
+            return self.spark.createDataFrame(rows, types)
+        arrow = to_arrow_schema(types)
+        columns = zip(*rows, strict=True)
+        return self.spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow), types)
 
     @staticmethod
     def new_id() -> str:

@@ -22,22 +22,36 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local(df: DataFrame, most: int) -> tuple[DataFrame, int] | None:
+    """Up to ``most`` rows as a local table, whose size the planner knows, so
+    that it joins by broadcast; None if there are more."""
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return None
+    return df.sparkSession.createDataFrame(table, df.schema), table.num_rows
+
+
 class Levels:
     """Keeps the levels of an iteration so that plans don't grow with its rounds.
 
     A level of up to ``small`` rows becomes a local table, which joins by
     broadcast in one stage; a larger one, and all after it, are written to the
-    shared folder.  What reaches the driver is bounded by ``small``."""
+    shared folder.  What reaches the driver is bounded by ``small``.  A level
+    is cached while it is tried, so that a large one is computed once."""
 
     def __init__(self, kind: str, small: int = 5_000) -> None:
         self.kind, self.small = kind, small
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, int]:
-        spark = df.sparkSession
-        if self.small:
-            rows = df.limit(self.small + 1).collect()
-            if len(rows) <= self.small:
-                return spark.createDataFrame(rows, df.schema), len(rows)
+        if not self.small:
+            out = written(df, self.kind)
+            return out, out.count()
+        df = df.persist()
+        try:
+            if (found := local(df, self.small)) is not None:
+                return found
             self.small = 0
-        out = written(df, self.kind)
-        return out, out.count()
+            out = written(df, self.kind)
+            return out, out.count()
+        finally:
+            df.unpersist()

@@ -14,7 +14,11 @@ text (nulls first); repeated rows are turns of their own; a null role or text
 is empty; a null conversation id is one conversation; extra columns are
 ignored; an empty table gives no rows.  A conversation without a reply, or with
 turns after its last one, also gives one row without a target (``reply`` is
-false), so the examples hold every turn.
+false), so the examples hold every turn; ``last`` marks a conversation's longest.
+
+A conversation is formatted by one task, which streams its turns: its examples
+are quadratic in its turns by the method.  Reading back takes the examples from
+a stored table in any order; only the texts under the mask meet by conversation.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ _ESCAPED = re.compile(r"<\\(\\*)(/?turn>)")
 _TURN = re.compile(r"<turn>([^\n]*)\n(.*?)</turn>\n", re.S)
 _FLUSH = 8 << 20
 
-EXAMPLES = "conv_id long, example long, reply boolean, turns long, text string, loss_start long, loss_chars long"
-_EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("reply", pa.bool_()), ("turns", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_chars", pa.int64())])
+EXAMPLES = "conv_id long, example long, reply boolean, last boolean, turns long, text string, loss_start long, loss_chars long"
+_EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("reply", pa.bool_()), ("last", pa.bool_()), ("turns", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_chars", pa.int64())])
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
 
@@ -69,7 +73,7 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams sorted turns: holds one conversation's prefix, not a partition."""
-    rows: list[tuple] = []
+    rows: list[list] = []
     size = 0
     conv: object = ()
     prefix: list[str] = []
@@ -79,8 +83,13 @@ def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         nonlocal size
         if pending:
-            rows.append((conv, example, False, turns, text := "".join(prefix), chars, 0))
+            rows.append([conv, example, False, True, turns, text := "".join(prefix), chars, 0])
             size += len(text)
+        elif rows:
+            rows[-1][3] = True
+
+    def batch_of(some: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _EXAMPLES.types, strict=True)], schema=_EXAMPLES)
 
     for batch in batches:
         for cid, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
@@ -93,14 +102,14 @@ def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending = role != TARGET_ROLE
             if not pending:
                 prefix = ["".join(prefix)]
-                rows.append((conv, example, True, turns, prefix[0], start, len(body)))
+                rows.append([conv, example, True, False, turns, prefix[0], start, len(body)])
                 example, size = example + 1, size + chars
-            if size >= _FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _EXAMPLES.types, strict=True)], schema=_EXAMPLES)
-                rows, size = [], 0
+            if size >= _FLUSH and len(rows) > 1:  # whether a row is the last shows after it
+                yield batch_of(rows[:-1])
+                rows, size = rows[-1:], 0
     close()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _EXAMPLES.types, strict=True)], schema=_EXAMPLES)
+        yield batch_of(rows)
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
@@ -120,36 +129,50 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_expand, EXAMPLES)
 
 
-def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams examples as written; each one must continue the one before."""
+READ = "conv_id long, example long, reply boolean, last boolean, n_turns long, turns_sha256 string, masked string, chars long"
+_READ = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("reply", pa.bool_()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("masked", pa.string()), ("chars", pa.int64())])
+
+
+def _read_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each example, the text under its mask; of the longest, its turns."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for cid, example, reply, last, text, start, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "example", "reply", "last", "text", "loss_start", "loss_chars")), strict=True):
+            said = hashlib.sha256()
+            n = 0
+            if last:
+                for role, turn in parse(text):
+                    said.update(f"{role}\n{turn}\n".encode())
+                    n += 1
+            rows.append((cid, example, reply, last, n, said.hexdigest(), unescape(text[start : start + size]), len(text)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
+
+
+def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams what was read, sorted by conversation and example."""
     rows: list[tuple] = []
     conv: object = ()
-    last = ""
-    turns, loss = hashlib.sha256(), hashlib.sha256()
-    n_turns = loss_chars = formatted = examples = 0
+    loss = hashlib.sha256()
+    turns, n_turns = "", 0
+    loss_chars = formatted = examples = 0
 
     def close() -> None:
         if conv != ():
-            rows.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), formatted, examples))
+            rows.append((conv, n_turns, turns, loss_chars, loss.hexdigest(), formatted, examples))
 
     for batch in batches:
-        for cid, reply, text, start, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "reply", "text", "loss_start", "loss_chars")), strict=True):
+        for cid, reply, last, n, said, masked, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "reply", "last", "n_turns", "turns_sha256", "masked", "chars")), strict=True):
             if conv == () or cid != conv:
                 close()
-                conv, last, turns, loss = cid, "", hashlib.sha256(), hashlib.sha256()
-                n_turns = loss_chars = formatted = examples = 0
-            if not text.startswith(last):
-                raise ValueError(f"an example of conversation {cid} doesn't continue its context")
-            for role, said in parse(text[len(last) :]):
-                turns.update(f"{role}\n{said}\n".encode())
-                n_turns += 1
+                conv, loss, loss_chars, formatted, examples = cid, hashlib.sha256(), 0, 0, 0
             if reply:
-                masked = unescape(text[start : start + size])
                 loss.update(masked.encode())
                 loss_chars += len(masked)
                 examples += 1
-            formatted += len(text)
-            last = text
+            if last:
+                turns, n_turns = said, n
+            formatted += chars
         if len(rows) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGESTS.types, strict=True)], schema=_DIGESTS)
             rows = []
@@ -159,9 +182,8 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_examples(examples: DataFrame) -> DataFrame:
-    """A digest of each conversation, parsed from its formatted examples.
-
-    Takes them as ``format_examples`` leaves them: those of a conversation
-    together and in order.  ``formatted_chars`` counts all its examples.
-    """
-    return examples.mapInArrow(_read_back, DIGESTS)
+    """A digest of each conversation, read from its formatted examples, which may
+    come from a stored table in any order.  ``formatted_chars`` counts all its
+    examples."""
+    read = examples.mapInArrow(_read_each, READ)
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_digest, DIGESTS)

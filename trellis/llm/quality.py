@@ -2,22 +2,42 @@
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows of
 each whole text.  What they pass is judged by a minimum-covariance-determinant
-estimate of its language and source: concentration steps keep the ``CORE``
-share of rows with the smallest Mahalanobis distance and fit mean and
-covariance to them again, from a start at medians and quartiles.  A row is
-rejected if its distance, scaled so that the group's median fits a normal
-vector's, is beyond ``CUT``.
+estimate of its language and source, as in the fast algorithm for it:
+
+1. *Starts.*  Each group has ``len(STARTS)`` of them: medians with quartile
+   spreads, the moments of all rows, and those of two small subsets by a hash of
+   the row.
+2. *Concentration.*  A step takes the ``CORE`` share of rows with the smallest
+   Mahalanobis distances and fits mean and covariance to them again.  All starts
+   take ``FIRST_STEPS`` steps; the one with the least determinant goes on until
+   its determinant no longer falls (by ``TOLERANCE`` of its logarithm), at most
+   ``MOST_STEPS`` steps.
+3. *Reweighting.*  The estimate is fitted once more to all rows within the 97.5 %
+   quantile of the chi-square distribution.
+
+Core and reweighted covariances are made consistent for normal vectors by the
+usual factors.  A row is rejected if its squared distance is beyond ``CUT``, the
+quantile of the chi-square distribution at ``1 - 1e-12``: statistics of texts have
+heavier tails than normal vectors, and clean documents should stay.
 
 The vector of a text is five transformed statistics (``VECTOR``), rates smoothed
-by ``PRIOR`` words so that short texts do not stand out by chance, in units of
-1/1024: moments are sums of whole numbers, so results do not depend on how rows
-are dealt.  Order statistics come from counts in fixed bins.  Each step is two
-aggregations with partial sums over a small table of vectors; only grouped
-moments and bins cross the shuffle, and a group may hold any share of the rows.
-
-A ridge (``RIDGE``) keeps degenerate covariances regular.  Groups below
-``LEAST`` rows are judged with their language, languages below it with all rows,
-and below it in all, the method keeps what the base rules pass.
+by ``PRIOR`` words.  Counts are noisy: the square root of a rate over ``n`` varies
+by ``1 / (4 n)`` for a Poisson count, whatever the rate, and more by ``CLUMPS`` for
+lines and words, which repeat several at a time; the logarithm of a mean of ``n``
+word lengths varies by ``1 / (16 n)`` where lengths deviate by a quarter of their
+mean.  A variance below the mean of its noise over the rows, as that of a part
+that most texts have none of, is raised to it: it comes from the data, and keeps
+determinants from vanishing.
+
+All are in units of 1/1024: moments are sums of whole numbers, so results do
+not depend on how rows are dealt.  Distances are ranked in bins of 1/32 octave.
+A step is two aggregations with partial sums over a small table of vectors, at
+most a row (or a bounded histogram) for each group and task, so a group may
+hold any share of the rows.  Only tables of one row a group are joined to it.
+
+Groups below ``LEAST`` rows (ten a dimension) are judged with their language,
+languages below it with all rows, and below it in all, the method keeps what
+the base rules pass.
 
 Defined results: a null text has no words and fails; a null language or source
 is a value of its own; repeated rows count one by one; extra columns are
@@ -26,27 +46,32 @@ ignored (and kept by ``good_documents``); an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import written
+from trellis.llm.common import unused, written
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 CORE = 0.75
-STEPS = 4
-CUT = 40.0
+DIMENSIONS = 5
+STARTS = ("medians", "all rows", "one subset", "another subset")
+#: Rows of a subset, about.
+SUBSET = 10 * DIMENSIONS
+FIRST_STEPS, MOST_STEPS = 2, 20
+TOLERANCE = 1e-3
 PRIOR = 50
-#: Standard deviation that each part of the vector has at least.
-RIDGE = (0.04, 0.05, 0.06, 0.15, 0.15)
-LEAST = 100
-#: Groups that hardly vary are not stretched further than this.
-LOWEST_SCALE = 0.5
+LEAST = 10 * DIMENSIONS
 SCALE = 1024
-#: Median of the squared length of a normal vector with five parts.
-MEDIAN = 4.351
-DIMENSIONS = 5
+NOISE_SCALE = 1 << 20
+CLUMPS = 8.0
+#: Fixed values for five dimensions: the chi-square quantiles at 0.975 and at
+#: 1 - 1e-12, and alpha / P(chi-square of 7 <= quantile of 5 at alpha) for alpha
+#: of CORE and of 0.975.
+WITHIN = 12.833
+CUT = 65.24
+CORE_FACTOR, WITHIN_FACTOR = 1.41207, 1.05553
 
 
 def _let(value: Column, body) -> Column:
@@ -77,25 +102,26 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_let(grams, count))
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of the base rules."""
+def base_statistics(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """doc_id, ``extra`` columns, lang, source and the counts of the base rules."""
     has = set(docs.columns)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *extra,
         *((F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in has else F.lit("\0")).alias(c) for c in ("lang", "source")),
         text.alias("text"),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     split = named.select(
-        "doc_id", "lang", "source",
+        "doc_id", *extra, "lang", "source",
         F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.when(F.instr("text", "\n") > 0, _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("long").alias("n_dup_lines"),
     )
     return split.select(
-        "doc_id", "lang", "source",
+        "doc_id", *extra, "lang", "source",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols", "n_upper", "n_dup_lines",
@@ -114,41 +140,42 @@ def _vector() -> list[Column]:
         F.sqrt(F.col("n_dup_lines") / words),
         F.sqrt(F.col("n_repeat_words") / words),
     ]
-    return [F.round(x * SCALE).cast("long").alias(f"v{i}") for i, x in enumerate(parts)]
+    noise = [F.round(NOISE_SCALE / (4 * n)).cast("long").alias(f"noise{i}") for i, n in enumerate((words, F.col("word_chars") + 5 * PRIOR))]
+    return [*(F.round(x * SCALE).cast("long").alias(f"v{i}") for i, x in enumerate(parts)), *noise]
 
 
 VECTOR = ("log word length", "symbols", "capitals", "repeated lines", "repeated words")
+PARTS = [f"v{i}" for i in range(DIMENSIONS)]
+#: The noise of each part: a mean and a factor.
+NOISE = (("noise0", 0.25), ("noise0", 1.0), ("noise1", 1.0), ("noise0", CLUMPS), ("noise0", CLUMPS))
+NOISES = ["noise0", "noise1"]
+
+
+def _noises() -> dict[str, Column]:
+    return {c: F.col(c) / F.col("n") / NOISE_SCALE for c in NOISES}
 
 
-def _quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """The first bin at which the running count reaches ``share`` of a key's rows."""
-    w = Window.partitionBy(*keys)
-    run = counts.withColumn("run", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return run.where(F.col("run") >= F.col("all") * share).groupBy(*keys).agg(F.min("bin").alias(name))
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Means at the medians, and a diagonal covariance from the quartiles."""
-    long = rows.select("group", F.posexplode(F.array(*(f"v{i}" for i in range(DIMENSIONS)))).alias("part", "value"))
-    counts = long.select("group", "part", F.floor(F.col("value") / 8).alias("bin")).groupBy("group", "part", "bin").agg(F.count("*").alias("n"))
-    keys = ["group", "part"]
-    q = _quantile(counts, keys, 0.25, "low").join(_quantile(counts, keys, 0.5, "mid"), keys).join(_quantile(counts, keys, 0.75, "high"), keys)
-    unit = 8.0 / SCALE
-    each = q.select("group", "part", ((F.col("mid") + 0.5) * unit).alias("m"), ((F.col("high") - F.col("low")) * unit / 1.349).alias("s"))
-    wide = each.groupBy("group").agg(
-        *(F.max(F.when(F.col("part") == i, F.col("m"))).alias(f"m{i}") for i in range(DIMENSIONS)),
-        *(F.max(F.when(F.col("part") == i, F.col("s") * F.col("s"))).alias(f"c{i}{i}") for i in range(DIMENSIONS)),
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Mean and consistent covariance of each key's rows, in partial sums."""
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        *(F.sum(c).alias(c) for c in NOISES),
+        *(F.sum(f"v{i}").alias(f"s{i}") for i in range(DIMENSIONS)),
+        *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)),
     )
-    return _factor(wide.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIMENSIONS) for j in range(i)}))
+    unit = float(SCALE * SCALE)
+    mean = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(DIMENSIONS)} | _noises())
+    return mean.withColumns({f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") / unit - F.col(f"m{i}") * F.col(f"m{j}")) for i in range(DIMENSIONS) for j in range(i + 1)})
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Adds the ridge and inverts the Cholesky factor: columns w00 to w44 turn a
-    centred vector into one whose squared length is the Mahalanobis distance."""
+def _factored(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Raises variances to their noise and inverts the Cholesky factor: columns w00 to w44 turn a
+    centred vector into one whose squared length is the Mahalanobis distance;
+    ``log_det`` is the logarithm of the covariance's determinant."""
     out = moments
     for i in range(DIMENSIONS):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (RIDGE[i] * RIDGE[i] if i == j else 0.0)
+            rest = F.greatest(f"c{i}{j}", NOISE[i][1] * F.col(NOISE[i][0])) if i == j else F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
@@ -158,7 +185,11 @@ def _factor(moments: DataFrame) -> DataFrame:
             for k in range(j, i):
                 sum_ = sum_ - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             out = out.withColumn(f"w{i}{j}", sum_ / F.col(f"l{i}{i}"))
-    return out.select("group", *(f"m{i}" for i in range(DIMENSIONS)), *(f"w{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)))
+    log_det = sum((F.log(f"l{i}{i}") for i in range(DIMENSIONS)), F.lit(0.0)) * 2
+    return out.select(*keys, log_det.alias("log_det"), *FITTED)
+
+
+FITTED = [*(f"m{i}" for i in range(DIMENSIONS)), *(f"w{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1))]
 
 
 def _distance() -> Column:
@@ -173,24 +204,56 @@ def _distance() -> Column:
 
 
 def _bin(distance: Column) -> Column:
-    """32 bins to an octave, from 2**-20 up."""
-    return F.floor(32 * F.log2(F.greatest(distance, F.lit(2.0**-20)))).cast("long")
+    """32 bins to an octave, from 2**-20 up to 2**40."""
+    return F.floor(32 * F.log2(F.least(F.greatest(distance, F.lit(2.0**-20)), F.lit(2.0**40)))).cast("long")
+
 
+def _starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, start, log_det and fit) of each group and start."""
+    quartiles = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in NOISES), *(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(PARTS)))
+    at = {f"m{i}": F.get(f"q{i}", F.lit(1)) / SCALE for i in range(DIMENSIONS)} | _noises() | {"start": F.lit(0)}
+    spread = {f"c{i}{i}": F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / SCALE / 1.349, 2) for i in range(DIMENSIONS)}
+    medians = quartiles.withColumns(at | spread | {f"c{i}{j}": F.lit(0.0) for i in range(DIMENSIONS) for j in range(i)})
+    subset = F.pmod(F.xxhash64(*PARTS), F.greatest(F.col("rows") / SUBSET, F.lit(1.0)).cast("long"))
+    of = rows.join(sizes, "group").withColumn("start", F.explode(F.filter(F.array(F.lit(1), F.when(subset == 0, 2), F.when((subset == 1) | (F.col("rows") < 2 * SUBSET), 3)), lambda s: s.isNotNull())))
+    keys = ["group", "start"]
+    return _factored(medians, keys).unionByName(_factored(_moments(of, keys, 1.0), keys))
 
-def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
+
+def _step(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """One concentration step: the fit to the core of the last fit's distances."""
-    placed = rows.join(fit, "group").select("group", *(f"v{i}" for i in range(DIMENSIONS)), _bin(_distance()).alias("bin"))
+    placed = rows.join(fit, "group").select(*keys, *PARTS, *NOISES, _bin(_distance()).alias("bin"))
     # As a table of known size it is broadcast where it is small, so the rows need no shuffle.
-    core = written(_quantile(placed.groupBy("group", "bin").agg(F.count("*").alias("n")), ["group"], CORE, "last"), "quality-core")
-    kept = placed.join(core, "group").where(F.col("bin") <= F.col("last"))
-    sums = kept.groupBy("group").agg(
-        F.count("*").alias("n"),
-        *(F.sum(f"v{i}").alias(f"s{i}") for i in range(DIMENSIONS)),
-        *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)),
-    )
-    unit = float(SCALE * SCALE)
-    mean = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(DIMENSIONS)})
-    return _factor(mean.withColumns({f"c{i}{j}": F.col(f"p{i}{j}") / F.col("n") / unit - F.col(f"m{i}") * F.col(f"m{j}") for i in range(DIMENSIONS) for j in range(i + 1)}))
+    core = written(placed.groupBy(*keys).agg(F.expr(f"percentile_disc({CORE}) WITHIN GROUP (ORDER BY bin)").cast("long").alias("last")), "quality-core")
+    kept = placed.join(core, keys).where(F.col("bin") <= F.col("last"))
+    return written(_factored(_moments(kept, keys, CORE_FACTOR), keys), "quality-fit")
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """(group, log_det, steps, fit): the reweighted minimum-covariance-determinant
+    estimate of each group of ``rows`` (group, v0 to v4, noise0, noise1)."""
+    sizes = written(rows.groupBy("group").agg(F.count("*").alias("rows")), "quality-sizes")
+    keys = ["group", "start"]
+    fit = written(_starts(rows, sizes), "quality-fit")
+    for _ in range(FIRST_STEPS):
+        fit = _step(rows, fit, keys)
+    least = fit.groupBy("group").agg(F.min_by(F.struct("log_det", *FITTED), F.struct("log_det", "start")).alias("x")).select("group", "x.*")
+    fit = written(least.withColumns({"steps": F.lit(FIRST_STEPS), "open": F.lit(True)}), "quality-fit")
+    for step in range(FIRST_STEPS + 1, MOST_STEPS + 1):
+        now = fit.where("open").select("group", "log_det", *FITTED)
+        if now.isEmpty():
+            break
+        # Groups that are done have no part in the step: the join leaves their rows out.
+        then = _step(rows, now.drop("log_det"), ["group"]).select("group", F.struct("log_det", *FITTED).alias("then"))
+        falls = F.col("then.log_det") < F.col("log_det") - TOLERANCE
+        both = fit.join(then, "group", "left").withColumn("falls", F.coalesce(F.col("open") & falls, F.lit(False)))
+        # Whichever determinant is less stays.
+        lower = F.coalesce(F.col("open") & (F.col("then.log_det") < F.col("log_det")), F.lit(False))
+        fit = written(both.select("group", *(F.when(lower, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("log_det", *FITTED)), F.when(F.col("open"), step).otherwise(F.col("steps")).alias("steps"), F.col("falls").alias("open")), "quality-fit")
+    within = rows.join(fit.select("group", *FITTED), "group").where(_distance() <= WITHIN).select("group", *PARTS, *NOISES)
+    last = _factored(_moments(within, ["group"], WITHIN_FACTOR), ["group"])
+    # No row within: an estimate that is regular by its noise alone stays as it is.
+    return written(fit.select("group", "log_det", "steps").join(last.drop("log_det"), "group"), "quality-fit")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -208,26 +271,20 @@ def _groups(rows: DataFrame) -> DataFrame:
     return sizes.select("lang", "source", group.alias("group"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, ``base_failed``, ``distance`` and ``kept``."""
-    stats = written(base_statistics(docs).select("*", *_vector()), "quality")
+def judged(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """doc_id, ``extra`` columns, the base counts, ``base_failed``, ``distance`` and ``kept``."""
+    stats = written(base_statistics(docs, extra).select("*", *_vector()), "quality")
     passed = stats.where("not base_failed")
     groups = written(_groups(passed), "quality-groups")
-    parts = [f"v{i}" for i in range(DIMENSIONS)]
     # Rows of a group fit at their own level: a language's fit has all its rows.
     levels = F.array(F.concat(F.lit("s\1"), "lang", F.lit("\1"), "source"), F.concat(F.lit("l\1"), "lang"), F.lit("a"))
-    used = groups.select("group").where("group is not null").distinct()
-    rows = passed.select(F.explode(levels).alias("group"), *parts).join(used, "group", "left_semi")
-    fit = written(_start(rows), "quality-fit")
-    for _ in range(STEPS):
-        fit = written(_step(rows, fit), "quality-fit")
-    bins = rows.join(fit, "group").select("group", _bin(_distance()).alias("bin")).groupBy("group", "bin").agg(F.count("*").alias("n"))
-    scale = _quantile(bins, ["group"], 0.5, "mid").select("group", (F.pow(F.lit(2.0), F.col("mid") / 32) / MEDIAN).alias("scale"))
-    fit = written(fit.join(scale, "group"), "quality-fit")
+    used = written(groups.select("group").where("group is not null").distinct(), "quality-used")
+    rows = passed.select(F.explode(levels).alias("group"), *PARTS, *NOISES).join(used, "group", "left_semi")
+    fit = estimate(rows)
     found = stats.join(groups, ["lang", "source"], "left").join(fit, "group", "left")
-    distance = F.when(~F.col("base_failed"), _distance() / F.greatest("scale", F.lit(LOWEST_SCALE)))
+    distance = F.when(~F.col("base_failed"), _distance())
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
+        "doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & F.coalesce(distance <= CUT, F.lit(True))).alias("kept"),
     )
 
@@ -236,9 +293,12 @@ def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns kept.
 
     A verdict depends on a row's text, language and source alone, so rows join
-    their verdicts by these."""
+    their verdicts by two hashes of these, 128 bits together."""
     keys = [F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("doc_id", "text", "lang", "source")]
-    tag = F.xxhash64(*keys)
-    tagged = docs.select(tag.alias("doc_id"), *(k.alias(c) for k, c in zip(keys[1:], ("text", "lang", "source"), strict=True)))
-    bad = judged(tagged).where("not kept").select(F.col("doc_id").alias("bad_tag")).distinct()
-    return docs.join(bad, tag == F.col("bad_tag"), "left_anti")
+    tag, check, bad_tag, bad_check = unused(docs, "row_tag", "row_check", "bad_tag", "bad_check")
+    hashes = F.xxhash64(*keys), F.xxhash64(F.lit("\1"), *reversed(keys))
+    # The first hash stands in for the id, the second travels with it.
+    tagged = docs.select(hashes[0].alias("doc_id"), hashes[1].alias("check"), *(k.alias(c) for k, c in zip(keys[1:], ("text", "lang", "source"), strict=True)))
+    bad = judged(tagged, ["check"]).where("not kept").select(F.col("doc_id").alias(bad_tag), F.col("check").alias(bad_check)).distinct()
+    keyed = docs.withColumns({tag: hashes[0], check: hashes[1]})
+    return keyed.join(bad, (F.col(tag) == F.col(bad_tag)) & (F.col(check) == F.col(bad_check)), "left_anti").select(*docs.columns)

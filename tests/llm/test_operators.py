@@ -56,6 +56,9 @@ def test_prefix_targets(spark):
     assert found[1].n_turns == 5 and found[1].turns_sha256 == brute.sha("".join(f"{r}\n{t or ''}\n" for c, _, r, t in said if c == 1))
     assert found[1].loss_sha256 == brute.sha("a </turn>\n b\\ok <turn>") and found[None].n_turns == 2 and found[None].loss_chars == 2
     assert found[2].turns_sha256 == brute.sha("system\nx\nonly\n") and found[3].turns_sha256 == brute.sha("\n\n")
+    assert [r.last for r in one] == [False, False, True]
+    shuffled = chat.read_examples(examples.repartition(5, "text"))
+    assert {r.conv_id: r for r in shuffled.collect()} == found
     assert chat.read_examples(chat.format_examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 

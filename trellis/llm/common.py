@@ -65,6 +65,12 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_small(df: DataFrame, kind: str, files: int = 8) -> DataFrame:
+    """``written`` for an aggregate of few rows: its last stage runs as at most
+    ``files`` tasks, which read the partial sums of all partitions."""
+    return written(df.coalesce(files), kind)
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a URI or of a plain path, and the path in it."""
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -49,7 +49,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import unused, written
+from trellis.llm.common import unused, written, written_small
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -173,18 +173,19 @@ def _factored(moments: DataFrame, keys: list[str]) -> DataFrame:
     centred vector into one whose squared length is the Mahalanobis distance;
     ``log_det`` is the logarithm of the covariance's determinant."""
     out = moments
-    for i in range(DIMENSIONS):
-        for j in range(i + 1):
+    for j in range(DIMENSIONS):  # a column of the factor from those before it
+        below = {}
+        for i in range(j, DIMENSIONS):
             rest = F.greatest(f"c{i}{j}", NOISE[i][1] * F.col(NOISE[i][0])) if i == j else F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(DIMENSIONS):
-        for i in range(j, DIMENSIONS):
-            sum_ = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                sum_ = sum_ - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-            out = out.withColumn(f"w{i}{j}", sum_ / F.col(f"l{i}{i}"))
+            if i == j:
+                out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))))
+            else:
+                below[f"l{i}{j}"] = rest / F.col(f"l{j}{j}")
+        out = out.withColumns(below) if below else out
+    for d in range(DIMENSIONS):  # a diagonal of the inverse from those nearer the middle
+        out = out.withColumns({f"w{j + d}{j}": (F.lit(float(d == 0)) - sum((F.col(f"l{j + d}{k}") * F.col(f"w{k}{j}") for k in range(j, j + d)), F.lit(0.0))) / F.col(f"l{j + d}{j + d}") for j in range(DIMENSIONS - d)})
     log_det = sum((F.log(f"l{i}{i}") for i in range(DIMENSIONS)), F.lit(0.0)) * 2
     return out.select(*keys, log_det.alias("log_det"), *FITTED)
 
@@ -224,21 +225,21 @@ def _step(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """One concentration step: the fit to the core of the last fit's distances."""
     placed = rows.join(fit, "group").select(*keys, *PARTS, *NOISES, _bin(_distance()).alias("bin"))
     # As a table of known size it is broadcast where it is small, so the rows need no shuffle.
-    core = written(placed.groupBy(*keys).agg(F.expr(f"percentile_disc({CORE}) WITHIN GROUP (ORDER BY bin)").cast("long").alias("last")), "quality-core")
+    core = written_small(placed.groupBy(*keys).agg(F.expr(f"percentile_disc({CORE}) WITHIN GROUP (ORDER BY bin)").cast("long").alias("last")), "quality-core")
     kept = placed.join(core, keys).where(F.col("bin") <= F.col("last"))
-    return written(_factored(_moments(kept, keys, CORE_FACTOR), keys), "quality-fit")
+    return written_small(_factored(_moments(kept, keys, CORE_FACTOR), keys), "quality-fit")
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """(group, log_det, steps, fit): the reweighted minimum-covariance-determinant
     estimate of each group of ``rows`` (group, v0 to v4, noise0, noise1)."""
-    sizes = written(rows.groupBy("group").agg(F.count("*").alias("rows")), "quality-sizes")
+    sizes = written_small(rows.groupBy("group").agg(F.count("*").alias("rows")), "quality-sizes")
     keys = ["group", "start"]
-    fit = written(_starts(rows, sizes), "quality-fit")
+    fit = written_small(_starts(rows, sizes), "quality-fit")
     for _ in range(FIRST_STEPS):
         fit = _step(rows, fit, keys)
     least = fit.groupBy("group").agg(F.min_by(F.struct("log_det", *FITTED), F.struct("log_det", "start")).alias("x")).select("group", "x.*")
-    fit = written(least.withColumns({"steps": F.lit(FIRST_STEPS), "open": F.lit(True)}), "quality-fit")
+    fit = written_small(least.withColumns({"steps": F.lit(FIRST_STEPS), "open": F.lit(True)}), "quality-fit")
     for step in range(FIRST_STEPS + 1, MOST_STEPS + 1):
         now = fit.where("open").select("group", "log_det", *FITTED)
         if now.isEmpty():
@@ -249,11 +250,11 @@ def estimate(rows: DataFrame) -> DataFrame:
         both = fit.join(then, "group", "left").withColumn("falls", F.coalesce(F.col("open") & falls, F.lit(False)))
         # Whichever determinant is less stays.
         lower = F.coalesce(F.col("open") & (F.col("then.log_det") < F.col("log_det")), F.lit(False))
-        fit = written(both.select("group", *(F.when(lower, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("log_det", *FITTED)), F.when(F.col("open"), step).otherwise(F.col("steps")).alias("steps"), F.col("falls").alias("open")), "quality-fit")
+        fit = written_small(both.select("group", *(F.when(lower, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("log_det", *FITTED)), F.when(F.col("open"), step).otherwise(F.col("steps")).alias("steps"), F.col("falls").alias("open")), "quality-fit")
     within = rows.join(fit.select("group", *FITTED), "group").where(_distance() <= WITHIN).select("group", *PARTS, *NOISES)
     last = _factored(_moments(within, ["group"], WITHIN_FACTOR), ["group"])
     # No row within: an estimate that is regular by its noise alone stays as it is.
-    return written(fit.select("group", "log_det", "steps").join(last.drop("log_det"), "group"), "quality-fit")
+    return written_small(fit.select("group", "log_det", "steps").join(last.drop("log_det"), "group"), "quality-fit")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -275,10 +276,10 @@ def judged(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """doc_id, ``extra`` columns, the base counts, ``base_failed``, ``distance`` and ``kept``."""
     stats = written(base_statistics(docs, extra).select("*", *_vector()), "quality")
     passed = stats.where("not base_failed")
-    groups = written(_groups(passed), "quality-groups")
+    groups = written_small(_groups(passed), "quality-groups")
     # Rows of a group fit at their own level: a language's fit has all its rows.
     levels = F.array(F.concat(F.lit("s\1"), "lang", F.lit("\1"), "source"), F.concat(F.lit("l\1"), "lang"), F.lit("a"))
-    used = written(groups.select("group").where("group is not null").distinct(), "quality-used")
+    used = written_small(groups.select("group").where("group is not null").distinct(), "quality-used")
     rows = passed.select(F.explode(levels).alias("group"), *PARTS, *NOISES).join(used, "group", "left_semi")
     fit = estimate(rows)
     found = stats.join(groups, ["lang", "source"], "left").join(fit, "group", "left")

@@ -151,70 +151,52 @@ NOISE = (("noise0", 0.25), ("noise0", 1.0), ("noise1", 1.0), ("noise0", CLUMPS),
 NOISES = ["noise0", "noise1"]
 
 
-def _noises() -> dict[str, Column]:
-    return {c: F.col(c) / F.col("n") / NOISE_SCALE for c in NOISES}
+#: Expressions are text from here on: one call to the JVM each, where columns
+#: built part by part take thousands for each step.
+_PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+_NOISES = [f"{c} / n / {NOISE_SCALE} AS {c}" for c in NOISES]
 
 
 def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Mean and consistent covariance of each key's rows, in partial sums."""
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *(F.sum(c).alias(c) for c in NOISES),
-        *(F.sum(f"v{i}").alias(f"s{i}") for i in range(DIMENSIONS)),
-        *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)),
-    )
-    unit = float(SCALE * SCALE)
-    mean = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(DIMENSIONS)} | _noises())
-    return mean.withColumns({f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") / unit - F.col(f"m{i}") * F.col(f"m{j}")) for i in range(DIMENSIONS) for j in range(i + 1)})
+    sums = [*(f"sum({c}) AS {c}" for c in NOISES), *(f"sum(v{i}) AS s{i}" for i in range(DIMENSIONS)), *(f"sum(v{i} * v{j}) AS p{i}{j}" for i, j in _PAIRS)]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *map(F.expr, sums))
+    means = [f"s{i} / n / {SCALE}D AS m{i}" for i in range(DIMENSIONS)]
+    return found.selectExpr(*keys, *_NOISES, *means, *(f"{factor}D * (p{i}{j} / n / {SCALE * SCALE}D - m{i} * m{j}) AS c{i}{j}" for i, j in _PAIRS))
 
 
 def _factored(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Raises variances to their noise and inverts the Cholesky factor: columns w00 to w44 turn a
     centred vector into one whose squared length is the Mahalanobis distance;
     ``log_det`` is the logarithm of the covariance's determinant."""
-    out = moments
+    factor = []
     for j in range(DIMENSIONS):  # a column of the factor from those before it
-        below = {}
         for i in range(j, DIMENSIONS):
-            rest = F.greatest(f"c{i}{j}", NOISE[i][1] * F.col(NOISE[i][0])) if i == j else F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            if i == j:
-                out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))))
-            else:
-                below[f"l{i}{j}"] = rest / F.col(f"l{j}{j}")
-        out = out.withColumns(below) if below else out
+            rest = f"greatest(c{i}{j}, {NOISE[i][1]}D * {NOISE[i][0]})" if i == j else f"c{i}{j}"
+            rest = " - ".join([rest, *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+            factor.append(f"sqrt(greatest({rest}, 1e-9D)) AS l{j}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    inverse = []
     for d in range(DIMENSIONS):  # a diagonal of the inverse from those nearer the middle
-        out = out.withColumns({f"w{j + d}{j}": (F.lit(float(d == 0)) - sum((F.col(f"l{j + d}{k}") * F.col(f"w{k}{j}") for k in range(j, j + d)), F.lit(0.0))) / F.col(f"l{j + d}{j + d}") for j in range(DIMENSIONS - d)})
-    log_det = sum((F.log(f"l{i}{i}") for i in range(DIMENSIONS)), F.lit(0.0)) * 2
-    return out.select(*keys, log_det.alias("log_det"), *FITTED)
-
-
-FITTED = [*(f"m{i}" for i in range(DIMENSIONS)), *(f"w{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1))]
-
-
-def _distance() -> Column:
-    z = [F.col(f"v{i}") / SCALE - F.col(f"m{i}") for i in range(DIMENSIONS)]
-    total = F.lit(0.0)
-    for i in range(DIMENSIONS):
-        part = F.lit(0.0)
-        for j in range(i + 1):
-            part = part + F.col(f"w{i}{j}") * z[j]
-        total = total + part * part
-    return total
+        for j in range(DIMENSIONS - d):
+            rest = " - ".join([f"{float(d == 0)}D", *(f"l{j + d}{k} * w{k}{j}" for k in range(j, j + d))])
+            inverse.append(f"({rest}) / l{j + d}{j + d} AS w{j + d}{j}")
+    log_det = "2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(DIMENSIONS)) + ") AS log_det"
+    means = [f"m{i}" for i in range(DIMENSIONS)]
+    return moments.selectExpr(*keys, *means, *factor, *inverse, log_det).select(*keys, "log_det", *FITTED)
 
 
-def _bin(distance: Column) -> Column:
-    """32 bins to an octave, from 2**-20 up to 2**40."""
-    return F.floor(32 * F.log2(F.least(F.greatest(distance, F.lit(2.0**-20)), F.lit(2.0**40)))).cast("long")
+FITTED = [*(f"m{i}" for i in range(DIMENSIONS)), *(f"w{i}{j}" for i, j in _PAIRS)]
+_CENTRED = [f"(v{j} / {SCALE}D - m{j})" for j in range(DIMENSIONS)]
+DISTANCE = " + ".join(f"pow({' + '.join(f'w{i}{j} * {_CENTRED[j]}' for j in range(i + 1))}, 2)" for i in range(DIMENSIONS))
+#: 32 bins to an octave, from 2**-20 up to 2**40.
+BIN = f"bigint(floor(32 * log2(least(greatest({DISTANCE}, {2.0**-20!r}D), {2.0**40!r}D)))) AS bin"
 
 
 def _starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(group, start, log_det and fit) of each group and start."""
     quartiles = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in NOISES), *(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(PARTS)))
-    at = {f"m{i}": F.get(f"q{i}", F.lit(1)) / SCALE for i in range(DIMENSIONS)} | _noises() | {"start": F.lit(0)}
-    spread = {f"c{i}{i}": F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / SCALE / 1.349, 2) for i in range(DIMENSIONS)}
-    medians = quartiles.withColumns(at | spread | {f"c{i}{j}": F.lit(0.0) for i in range(DIMENSIONS) for j in range(i)})
+    spread = [f"{f'pow((q{i}[2] - q{i}[0]) / {SCALE}D / 1.349D, 2)' if i == j else '0D'} AS c{i}{j}" for i, j in _PAIRS]
+    medians = quartiles.selectExpr("group", "0 AS start", *_NOISES, *(f"q{i}[1] / {SCALE}D AS m{i}" for i in range(DIMENSIONS)), *spread)
     subset = F.pmod(F.xxhash64(*PARTS), F.greatest(F.col("rows") / SUBSET, F.lit(1.0)).cast("long"))
     of = rows.join(sizes, "group").withColumn("start", F.explode(F.filter(F.array(F.lit(1), F.when(subset == 0, 2), F.when((subset == 1) | (F.col("rows") < 2 * SUBSET), 3)), lambda s: s.isNotNull())))
     keys = ["group", "start"]
@@ -223,7 +205,7 @@ def _starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """One concentration step: the fit to the core of the last fit's distances."""
-    placed = rows.join(fit, "group").select(*keys, *PARTS, *NOISES, _bin(_distance()).alias("bin"))
+    placed = rows.join(fit, "group").selectExpr(*keys, *PARTS, *NOISES, BIN)
     # As a table of known size it is broadcast where it is small, so the rows need no shuffle.
     core = written_small(placed.groupBy(*keys).agg(F.expr(f"percentile_disc({CORE}) WITHIN GROUP (ORDER BY bin)").cast("long").alias("last")), "quality-core")
     kept = placed.join(core, keys).where(F.col("bin") <= F.col("last"))
@@ -251,9 +233,9 @@ def estimate(rows: DataFrame) -> DataFrame:
         # Whichever determinant is less stays.
         lower = F.coalesce(F.col("open") & (F.col("then.log_det") < F.col("log_det")), F.lit(False))
         fit = written_small(both.select("group", *(F.when(lower, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("log_det", *FITTED)), F.when(F.col("open"), step).otherwise(F.col("steps")).alias("steps"), F.col("falls").alias("open")), "quality-fit")
-    within = rows.join(fit.select("group", *FITTED), "group").where(_distance() <= WITHIN).select("group", *PARTS, *NOISES)
+    within = rows.join(fit.select("group", *FITTED), "group").where(f"{DISTANCE} <= {WITHIN}D").select("group", *PARTS, *NOISES)
     last = _factored(_moments(within, ["group"], WITHIN_FACTOR), ["group"])
-    # No row within: an estimate that is regular by its noise alone stays as it is.
+    # Some row is within: distances of the core are below DIMENSIONS in the mean.
     return written_small(fit.select("group", "log_det", "steps").join(last.drop("log_det"), "group"), "quality-fit")
 
 
@@ -283,7 +265,7 @@ def judged(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     rows = passed.select(F.explode(levels).alias("group"), *PARTS, *NOISES).join(used, "group", "left_semi")
     fit = estimate(rows)
     found = stats.join(groups, ["lang", "source"], "left").join(fit, "group", "left")
-    distance = F.when(~F.col("base_failed"), _distance())
+    distance = F.when(~F.col("base_failed"), F.expr(DISTANCE))
     return found.select(
         "doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & F.coalesce(distance <= CUT, F.lit(True))).alias("kept"),

@@ -635,3 +635,23 @@ def test_small_shards_and_seeking(spark, docs, tmp_path):
     odd_rows = spark.createDataFrame([(None, "a"), (None, "b b"), (3, "c")], "doc_id long, text string")
     (uri, _), *_ = idfiles.write_id_files(odd_rows.coalesce(1), f"file://{tmp_path}/odd")
     assert len(idfiles.seek(uri, None)) + len(idfiles.seek(uri, 3)) >= 1
+
+
+# -- SQL
+
+
+@pytest.mark.parametrize("name", ["op1_prefix_targets", "op2_suffix_dedup", "op4_jaccard_join"])
+def test_queries_against_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from trellis.llm import queries
+
+    con = duckdb.connect()
+    for table in os.listdir(SF):
+        con.sql(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{table}'")
+    found = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(found.columns)
+    assert got(df.select(*found.columns)) == sorted(found.fetchall(), key=str)

@@ -87,5 +87,42 @@ FROM run GROUP BY conv_id
 """
 
 
+#: Every 200-byte piece of every text, as hexadecimal digits; runs of repeated ones, and what lies between.
+OP2_SQL = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2, 2000)) AS part FROM t WHERE len(h) >= 400),
+cut AS MATERIALIZED (SELECT doc_id, part, substr(h, 2 * part + 1, 4398) AS h FROM p),
+starts AS MATERIALIZED (SELECT doc_id, part + i AS pos, md5(substr(h, 2 * i + 1, 400)) AS piece FROM (SELECT doc_id, part, h, unnest(range(0, least(2000, len(h) // 2 - 199))) AS i FROM cut WHERE len(h) >= 400)),
+twice AS (SELECT piece FROM starts GROUP BY piece HAVING count(*) > 1),
+hit AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200, true) AS fresh FROM starts JOIN twice USING (piece)),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 200 AS b FROM (SELECT doc_id, pos, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit) GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT doc_id, coalesce((SELECT max(b) FROM runs r WHERE r.doc_id = t.doc_id), 0), len(h) // 2 FROM t)
+SELECT t.doc_id, len(any_value(t.h)) // 2 AS n_bytes, CAST(coalesce((SELECT sum(b - a) FROM runs r WHERE r.doc_id = t.doc_id), 0) AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM runs r WHERE r.doc_id = t.doc_id) AS n_spans, sha256(unhex(string_agg(substr(t.h, 2 * kept.a + 1, 2 * (kept.b - kept.a)), '' ORDER BY kept.a))) AS kept_sha256
+FROM t JOIN kept USING (doc_id) GROUP BY t.doc_id
+"""
+
+#: All pairs that share a shingle; components by labels that fall until none does.
+OP4_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 3], ' ') END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, least(len(words), 1) + 1))) AS i FROM w)
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.size + nb.size - common)
+), component(doc_id, least) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT l.b, min(c.least) FROM component c JOIN links l ON l.a = c.doc_id JOIN recurring.component o ON o.doc_id = l.b WHERE c.least < o.least GROUP BY l.b
+)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, c.least AS component_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
+FROM documents d JOIN component c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_prefix_targets": OP1_SQL}
+    return {"op1_prefix_targets": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL}

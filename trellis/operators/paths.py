@@ -12,7 +12,7 @@ from trellis.sources.storage import Levels
 def shortest_path(roots: DataFrame, steps: DataFrame, target: tuple[str, str], max_depth: int) -> list[tuple[str, str, str | None]]:
     """(table, id, label of the edge to it) of a path with fewest edges; empty if there is none."""
     hit = (F.col("node_table") == target[0]) & (F.col("node_id") == target[1])
-    reached, _ = bfs(roots, steps, max_depth, 2**62, 2**62, lambda f: not f.where(hit).isEmpty())
+    reached, _ = bfs(roots, steps, max_depth, None, None, lambda f: not f.where(hit).isEmpty(), 1)
     found = reached.where(hit).select("path", "edge_path").head()
     if found is None:
         return []

@@ -51,12 +51,13 @@ def adjacency(edges: DataFrame, nodes: DataFrame, direction: str, types: list[st
     return steps.withColumn("dst_ord", table[F.col("dst_label")])
 
 
-def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int | None, max_frontier: int | None, stop: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, bool]:
+def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int | None, max_frontier: int | None, stop: Callable[[DataFrame], bool] | None = None, seeds: int | None = None) -> tuple[DataFrame, bool]:
     """Rows (root_table, root_id, node_table, node_id, depth, path, edge_path)
     and whether a limit cut it; ``roots`` has (ord, table, id).
 
     Only the neighbour is checked, so roots may fail every filter.  A limit
-    of None is none."""
+    of None is none.  ``seeds`` is the number of roots where they are a local
+    table without repeats."""
     max_nodes, max_frontier = (math.inf if x is None else x for x in (max_nodes, max_frontier))
     keys = ["root_table", "root_id", "node_table", "node_id"]
     start = roots.select(
@@ -64,7 +65,7 @@ def bfs(roots: DataFrame, steps: DataFrame, max_depth: int, max_nodes: int | Non
         F.lit(0).alias("depth"), F.array(F.struct("ord", "table", "id")).alias("path"), F.array().cast("array<string>").alias("edge_path"),
     )
     levels = Levels("bfs")
-    frontier, n = levels.keep(start.dropDuplicates(keys))
+    frontier, n = (start, seeds) if seeds is not None else levels.keep(start.dropDuplicates(keys))
     reached, seen, roots_n, capped = frontier, n, n, False
     for depth in range(1, max_depth + 1):
         if not n or (stop is not None and stop(frontier)):

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from trellis.admin import Admin, GraphEntry
 from trellis.catalog import EdgeMapping, FilterColumn, Source, discover, key_text
@@ -28,10 +29,15 @@ from trellis.plans.parser import parse
 from trellis.plans.planner import Planner
 from trellis.plans.syntax import Write
 from trellis.settings import Settings
+from trellis.sources.storage import local
 
 TRAVERSE = "root_table string, root_id string, node_table string, node_id string, depth int, path array<struct<table:string,id:string>>, edge_path array<string>, capped boolean"
 
 
+#: Rows of a page that may come to the driver.
+PAGE = 2_000
+
+
 def _first(rows: DataFrame, n: int | None) -> DataFrame:
     return rows if n is None else rows.limit(n)
 
@@ -250,14 +256,29 @@ class Session(Admin):
         return _first(out, max_rows).select("ord", "node_table", "node_id", F.lit(mode).alias("match_type"), F.lit(1.0).cast("float").alias("score"), F.lit(True).alias("verified"))
 
     def hydrated(self, rows: DataFrame, table: str = "node_table", key: str = "node_id") -> DataFrame:
-        """Adds ``node``, the source row as JSON: a join for each table."""
-        catalog = self.current.catalog
+        """Adds ``node``, the source row as JSON.
+
+        A page of up to ``PAGE`` rows is brought in first: only its tables are
+        read, and its keys reach their scans.  More rows join each table."""
+        page = local(rows, PAGE)
         whole = None
-        for name, t in sorted(catalog.tables.items()):
-            df = self.sources[name].df
-            props = catalog.properties(name, df)
-            part = df.select(F.lit(name).alias("_t"), key_text(t.id_columns).alias("_k"), F.to_json(F.struct(*props), {"ignoreNullFields": "false"}).alias("node"))
+        for name, t in sorted(self.current.catalog.tables.items()):
+            df, condition = self.sources[name].df, None
+            if page is not None:
+                keys = sorted({k for n, k in zip(page[1][table].to_pylist(), page[1][key].to_pylist(), strict=True) if n == name and k is not None})
+                if not keys:
+                    continue
+                kind = df.schema[t.id_columns[0]].dataType
+                native = len(t.id_columns) == 1 and isinstance(kind, (IntegralType, StringType))
+                values = [F.lit(k).cast(kind) if native else F.lit(k) for k in keys]
+                condition = (F.col(t.id_columns[0]) if native else key_text(t.id_columns)).isin(values)
+            found = df if condition is None else df.where(condition)
+            props = self.current.catalog.properties(name, df)
+            part = found.select(F.lit(name).alias("_t"), key_text(t.id_columns).alias("_k"), F.to_json(F.struct(*props), {"ignoreNullFields": "false"}).alias("node"))
             whole = part if whole is None else whole.unionByName(part)
+        rows = rows if page is None else page[0]
+        if whole is None:
+            return rows.withColumn("node", F.lit(None).cast("string"))
         return rows.join(whole, (rows[table] == whole["_t"]) & (rows[key] == whole["_k"]), "left").drop("_t", "_k")
 
     # -- traversal
@@ -291,10 +312,10 @@ class Session(Admin):
         seeds = list(zip(seed_table, seed_id, strict=True)) if several else [(seed_table, seed_id)]
         if not seeds:
             raise GraphError("semantic", "traverse needs a start")
-        rows = self._traversed(self._roots(seeds), len(seeds) > 1, max_depth, edge_types, direction, node_tables, filter, tenant, strategy, uniqueness, include_start, max_nodes, max_frontier)
+        rows = self._traversed(self._roots(seeds), len(seeds) > 1, max_depth, edge_types, direction, node_tables, filter, tenant, strategy, uniqueness, include_start, max_nodes, max_frontier, len({(t, str(i)) for t, i in seeds}))
         return self._page(rows, max_rows, row_offset, hydrate)
 
-    def _traversed(self, roots: DataFrame, several: bool, max_depth: int | None, edge_types: list[str] | None, direction: str, node_tables: list[str] | None, filter: Any, tenant: str | None, strategy: str, uniqueness: str, include_start: bool, max_nodes: int | None = None, max_frontier: int | None = None) -> DataFrame:
+    def _traversed(self, roots: DataFrame, several: bool, max_depth: int | None, edge_types: list[str] | None, direction: str, node_tables: list[str] | None, filter: Any, tenant: str | None, strategy: str, uniqueness: str, include_start: bool, max_nodes: int | None = None, max_frontier: int | None = None, seeds: int | None = None) -> DataFrame:
         s, catalog = self.settings, self.current.catalog
         depth = s.default_max_depth if max_depth is None else max_depth
         nodes, front = max_nodes or s.max_nodes, max_frontier or s.max_frontier
@@ -304,7 +325,7 @@ class Session(Admin):
             raise GraphError("semantic", f"unknown strategy {strategy}")
         pushed, after = fl.split(fl.parse(filter), catalog)
         steps = self._steps(direction, edge_types, pushed, tenant)
-        reached, capped = trv.bfs(roots, steps, depth, nodes, front)
+        reached, capped = trv.bfs(roots, steps, depth, nodes, front, seeds=seeds)
         if strategy == "dfs":
             out = []
             for r in roots.collect():  # the seeds of the call

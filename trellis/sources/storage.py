@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,13 +23,13 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local(df: DataFrame, most: int) -> tuple[DataFrame, int] | None:
+def local(df: DataFrame, most: int) -> tuple[DataFrame, pa.Table] | None:
     """Up to ``most`` rows as a local table, whose size the planner knows, so
     that it joins by broadcast; None if there are more."""
     table = df.limit(most + 1).toArrow()
     if table.num_rows > most:
         return None
-    return df.sparkSession.createDataFrame(table, df.schema), table.num_rows
+    return df.sparkSession.createDataFrame(table, df.schema), table
 
 
 class Levels:
@@ -49,7 +50,7 @@ class Levels:
         df = df.persist()
         try:
             if (found := local(df, self.small)) is not None:
-                return found
+                return found[0], found[1].num_rows
             self.small = 0
             out = written(df, self.kind)
             return out, out.count()

@@ -112,6 +112,23 @@ def test_patterns(spark):
     assert text == '{"a":{"_id":{"table":"users","id":"u2"},"_labels":["users"],"id":"u2","name":"Bob","age":41}}'
 
 
+def test_long_bounds_do_not_grow_the_plan(spark):
+    n = 7
+    s = friends(spark, [(f"n{i}", "x", i) for i in range(n)], [(f"e{i}", f"n{i}", f"n{i + 1}") for i in range(n - 1)])
+    for low, high in ((1, 2), (2, 5), (5, 64), (9, 64)):
+        got = rows(s.gql_df(f"MATCH (a:users)-[:friend*{low}..{high}]->(b:users) RETURN id(a) AS a, id(b) AS b"))
+        assert sorted(got) == [(f"n{i}", f"n{j}") for i in range(n) for j in range(i + 1, n) if low <= j - i <= high]
+        path = rows(s.gql_df(f"MATCH p=(a:users)-[:friend*{low}..{high}]->(b:users) WHERE b.age > 3 RETURN id(a) AS a, id(b) AS b, length(p) AS n"))
+        assert sorted(path) == [(f"n{i}", f"n{j}", j - i) for i in range(n) for j in range(max(4, i + 1), n) if low <= j - i <= high]
+
+
+def test_names_of_edges_change(spark):
+    s = friends(spark, build=False)
+    s.rename_edge("default", "friend", "knows")
+    s.alter_edge("default", "knows", bidirectional=True)
+    assert [(r.label, r.bidirectional) for r in s.registered_edges().collect()] == [("knows", True)]
+
+
 def test_two_valued_logic(spark):
     s = Session(spark)
     s.source("t", spark.createDataFrame([("1", None, '{"a":null,"b":2}'), ("2", 5, '{"a":1}'), ("3", 7, "bad")], "id string, x int, j string"), "id")

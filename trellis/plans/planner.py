@@ -19,8 +19,11 @@ from trellis.catalog import Catalog, EdgeMapping, Source, key_text
 from trellis.errors import GraphError
 from trellis.operators.build import Graph, edge_type
 from trellis.plans.syntax import And, Compare, IdOf, IsNull, Item, ListOf, Literal, NodePattern, Not, Or, Param, Pattern, Prop, Read, RelPattern
+from trellis.sources.storage import written
 
 MAX_WINDOW = 10_000
+#: Hops of a bounded path that are one plan together.
+UNROLLED = 3
 
 
 @dataclass(frozen=True)
@@ -295,6 +298,16 @@ class Planner:
             return out
         return back if direction == "in" else out.unionByName(back).distinct()
 
+    @staticmethod
+    def level(walks: DataFrame, hop: int, high: int) -> tuple[DataFrame, bool]:
+        """Walks of one more hop, and whether longer ones are possible.  Past
+        ``UNROLLED`` hops each level is a table of its own, so that the plan
+        does not grow with the bound, and an empty level ends the search."""
+        if hop < UNROLLED or hop == high:
+            return walks, True
+        walks = written(walks, "walks")
+        return walks, not walks.isEmpty()
+
     def variable(self, df: DataFrame | None, scope: Scope, left: NodePattern, rel: RelPattern, right: NodePattern, simple: bool) -> tuple[DataFrame, Scope]:
         """Paths of bounded length: without repeated nodes where a pattern
         stands alone, walks where it is joined with others."""
@@ -322,9 +335,13 @@ class Planner:
             if simple:
                 grown = grown.where(~F.array_contains("_nodes", to))
             walks = grown.select("_from", F.concat("_nodes", F.array(to)).alias("_nodes"), F.concat("_rels", F.array("step_rel")).alias("_rels"))
+            walks, more = self.level(walks, hop, high)
             if hop >= low:
                 ends = walks.where(last["table"] == b_label)
                 out = ends if out is None else out.unionByName(ends)
+            if not more:
+                break
+        out = walks.where("false") if out is None else out
         out = out.select("_from", last["id"].alias("_to"), F.col("_nodes").alias(f"{r}__nodes_"), F.col("_rels").alias(f"{r}__rels_"))
         df = df.join(out, F.col(f"{a}__id_") == F.col("_from")).drop("_from")
         if b in scope:
@@ -364,9 +381,13 @@ class Planner:
             for hop in range(1, high + 1):
                 to = F.struct(F.col("dst_label").alias("table"), F.col("dst_id").alias("id"))
                 now = now.join(steps, (last["table"] == F.col("src_label")) & (last["id"] == F.col("src_id"))).select(F.concat("_nodes", F.array(to)).alias("_nodes"), F.concat("_rels", F.array("step_rel")).alias("_rels"), "_marks")
+                now, more = self.level(now, hop, high)
                 if hop >= low:
                     ends = now if n.label is None else now.where(last["table"] == n.label)
                     out = ends if out is None else out.unionByName(ends)
+                if not more:
+                    break
+            out = now.where("false") if out is None else out
             df = out.withColumn("_marks", F.concat("_marks", F.array(F.size("_nodes") - 1)))
         if self.tenant is not None:
             # every node of a path must be visible

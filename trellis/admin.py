@@ -22,6 +22,8 @@ from trellis.streaming import sync
 
 GRAPH = "graph_id string, graph_name string, owner_role string, created_by string, tenant string, namespace string, graph_kind string, residency string, materialization string, projection_mode string, created_at timestamp, updated_at timestamp"
 PRIVILEGES = ("read", "write", "build", "admin", "owner")
+#: The grants that give a privilege.
+GIVEN_BY = {"read": set(PRIVILEGES), "write": {"write", "admin", "owner"}, "build": {"build", "admin", "owner"}, "admin": {"admin", "owner"}}
 QUOTA_SCOPES = ("global", "tenant", "graph", "role")
 QUOTA_DIMENSIONS = ("graphs", "nodes", "edges", "memory_mb", "disk_mb")
 BUILD = "nodes_loaded long, edges_loaded long, build_time_ms double, memory_used_mb double, sync_mode string, projection_mode string"
@@ -90,7 +92,7 @@ class Admin:
     """What a session adds around its queries; state lives on the driver."""
 
     def start_admin(self) -> None:
-        self.user = self.spark.sparkContext.sparkUser()
+        self.user = self.host_user = self.spark.sparkContext.sparkUser()
         first = GraphEntry(self.new_id(), "default", self.user, projection_mode=self.settings.default_projection_mode)
         self.graphs: list[GraphEntry] = [first]
         self.current: GraphEntry = first
@@ -141,6 +143,7 @@ class Admin:
     def alter_graph(self, graph_name: str, tenant: str | None = None, namespace: str | None = None, graph_kind: str | None = None, residency: str | None = None, materialization: str | None = None, projection_mode: str | None = None) -> DataFrame:
         self._vocabulary(graph_kind=(graph_kind, KINDS), residency=(residency, RESIDENCIES), materialization=(materialization, MATERIALIZATIONS), projection_mode=(projection_mode, PROJECTION_MODES))
         g = self.find_graph(graph_name, tenant, namespace)
+        self.require(g, "admin")
         g.kind, g.residency = graph_kind or g.kind, residency or g.residency
         g.materialization, g.projection_mode = materialization or g.materialization, projection_mode or g.projection_mode
         g.updated = now()
@@ -148,6 +151,7 @@ class Admin:
 
     def drop_graph(self, graph_name: str, tenant: str | None = None, namespace: str | None = None) -> DataFrame:
         g = self.find_graph(graph_name, tenant, namespace)
+        self.require(g, "admin")
         self.graphs.remove(g)
         if g.graph is not None:
             g.graph.unpersist()
@@ -212,17 +216,37 @@ class Admin:
         self._vocabulary(projection_mode=(mode, PROJECTION_MODES))
         g.projection_mode = mode
 
-    # -- grants and quotas: kept, not enforced; access belongs to the catalog of the tables
+    # -- grants and quotas
+
+    def act_as(self, user: str) -> None:
+        """Whose privileges count from here on; the session's own user has all."""
+        self.user = user
+
+    def require(self, g: GraphEntry, privilege: str) -> None:
+        if self.user in (self.host_user, g.owner):
+            return
+        if not GIVEN_BY[privilege] & {x[3] for x in self.grants if (x[0], x[2]) == (g.id, self.user)}:
+            raise GraphError("access_denied", f"{self.user} may not {privilege} graph {g.name}")
+
+    def check_quotas(self, g: GraphEntry) -> None:
+        """Hard quotas of nodes and edges, over all graphs, a tenant's, a role's or one."""
+        for scope, key, dimension, limit, enforcement, *_ in self.quotas:
+            if enforcement == "hard" and dimension in ("nodes", "edges"):
+                here = [x for x in self.graphs if scope == "global" or (scope == "tenant" and x.tenant == key) or (scope == "graph" and key in (x.name, x.id)) or (scope == "role" and x.owner == key)]
+                if g in here and sum(x.node_count if dimension == "nodes" else x.edge_count for x in here) > limit:
+                    raise GraphError("resource_limit", f"the quota of {limit} {dimension} is used up")
 
     def grant_graph(self, graph_name: str, grantee: str, privilege: str, tenant: str | None = None, namespace: str | None = None) -> DataFrame:
         self._vocabulary(privilege=(privilege, PRIVILEGES))
         g = self.find_graph(graph_name, tenant, namespace)
+        self.require(g, "admin")
         self.grants = [x for x in self.grants if (x[0], x[2], x[3]) != (g.id, grantee, privilege)]
         self.grants.append([g.id, g.name, grantee, privilege, self.user, now(), now()])
         return self.rows([tuple(self.grants[-1])], GRANT)
 
     def revoke_graph(self, graph_name: str, grantee: str, privilege: str, tenant: str | None = None, namespace: str | None = None) -> DataFrame:
         g = self.find_graph(graph_name, tenant, namespace)
+        self.require(g, "admin")
         gone = [x for x in self.grants if (x[0], x[2], x[3]) == (g.id, grantee, privilege)]
         self.grants = [x for x in self.grants if x not in gone]
         return self.rows([tuple(x) for x in gone], GRANT)
@@ -233,6 +257,7 @@ class Admin:
 
     def transfer_graph_ownership(self, graph_name: str, new_owner: str, tenant: str | None = None, namespace: str | None = None) -> DataFrame:
         g = self.find_graph(graph_name, tenant, namespace)
+        self.require(g, "admin")
         g.owner, g.updated = new_owner, now()
         return self._one(g)
 
@@ -321,7 +346,8 @@ class Admin:
         return self.rows([(nodes, edges, mb, self.settings.memory_limit_mb, mb <= self.settings.memory_limit_mb)], "estimated_nodes long, estimated_edges long, estimated_memory_mb double, memory_limit_mb int, fits_in_memory boolean")
 
     def build_resource_status(self) -> DataFrame:
-        return self.rows([(None, None, "built" if self.current.graph else None, 0)], "budget_bytes long, peak_bytes long, peak_phase string, pressure_events long")
+        used = self._memory_mb()[1] * 1e6
+        return self.rows([(self.settings.maintenance_memory_mb * 1_000_000, int(used), "built" if self.current.graph else None, 0)], "budget_bytes long, peak_bytes long, peak_phase string, pressure_events long")
 
     # -- change sync
 
@@ -695,9 +721,16 @@ class Admin:
         row = (g.node_count, g.edge_count, None, s.memory_limit_mb, s.sync_mode, "pending" if wait else "current", g.last_build, g.last_vacuum, sorted(g.edge_types), 0, g.graph.has_unidirectional if g.graph else None, "drifted" if g.needs_rebuild and g.graph else "valid", wait, g.pending_edges, o.tombstones > 0, g.needs_rebuild, g.applied, wait, None if g.graph else "not built", 0, False, None, g.projection_mode, o.tombstones, 0, o.tombstones > s.compaction_threshold, o.dirty, o.added_nodes, o.deleted_nodes, o.added_edges, o.deleted_edges, 0)
         return self.rows([row], "node_count int, edge_count int, memory_used_mb double, memory_limit_mb int, sync_mode string, sync_status string, last_build timestamp, last_vacuum timestamp, edge_types array<string>, edge_buffer_used int, has_unidirectional_edges boolean, schema_status string, sync_lag long, pending_edge_deltas int, needs_vacuum boolean, needs_rebuild boolean, applied_sync_id long, pending_sync_rows long, invalid_reason string, disabled_trigger_count int, read_only boolean, read_only_reason string, projection_mode string, overlay_tombstone_count int, overlay_memory_bytes long, compaction_recommended boolean, tx_delta_dirty boolean, tx_delta_added_nodes int, tx_delta_deleted_nodes int, tx_delta_added_edges int, tx_delta_deleted_edges int, tx_delta_memory_bytes long")
 
+    def _memory_mb(self) -> tuple[float, float]:
+        """The driver's heap in use, and what cached tables hold on all executors."""
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        cached = sum(x.memSize() for x in self.spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        return (runtime.totalMemory() - runtime.freeMemory()) / 1e6, cached / 1e6
+
     def memory_profile(self, concurrent_backends: int = 1) -> DataFrame:
         names = ("active_backend_private_mb", "active_backend_shared_mb", "active_backend_total_mb", "estimated_instance_private_mb", "estimated_instance_shared_mb", "estimated_instance_total_mb")
-        return self.rows([(*[None] * 6, self.settings.memory_limit_mb, concurrent_backends)], ", ".join(f"{n} double" for n in names) + ", memory_limit_mb int, assumed_concurrent_backends int")
+        own, cached = self._memory_mb()
+        return self.rows([(own, cached, own + cached, own * concurrent_backends, cached, own * concurrent_backends + cached, self.settings.memory_limit_mb, concurrent_backends)], ", ".join(f"{n} double" for n in names) + ", memory_limit_mb int, assumed_concurrent_backends int")
 
     def resource_status(self) -> DataFrame:
         return self.rows([(self.last_operation[0], None, None, None, None, self.last_operation[1], self.last_operation[2])], "operation string, memory_budget_bytes long, memory_peak_bytes long, memory_peak_phase string, disk_peak_bytes long, rows long, work_units long")

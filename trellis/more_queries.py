@@ -330,6 +330,38 @@ GRAPHS_SQL = _values(
 )
 
 
+def access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another user may do before and after grants, and hard quotas of a build."""
+    s = _geo(_new(spark, sf_dir, "region", "nation", mode="mutable_overlay"))
+    s.build()
+    read = "MATCH (r:region) RETURN count(*) AS n"
+    rows: list[tuple[str, Any]] = []
+    for privilege in (None, "read", "write", "build", "admin"):
+        if privilege:
+            s.grant_graph("default", "someone", privilege)
+        s.act_as("someone")
+        tried = {"read": lambda: s.gql_df(read), "traverse": lambda: s.traverse("region", "1", 1), "write": lambda: s.gql("MATCH (r:region) WHERE id(r) = '1' SET r.r_name = 'X' RETURN r"), "build": s.build, "alter": lambda: s.set_graph_residency("default", "hot")}
+        rows += [(f"{_text(privilege)} {name}", _failure(run)) for name, run in tried.items()]
+        s.act_as(s.host_user)
+        if privilege:
+            s.revoke_graph("default", "someone", privilege)
+    s.set_graph_quota("graph", "nodes", 3, "default")
+    rows.append(("nodes", _failure(s.build)))
+    s.set_graph_quota("graph", "nodes", 10_000_000, "default")
+    s.set_graph_quota("global", "edges", 2, enforcement="soft")
+    rows.append(("soft", _failure(s.build)))
+    profile = s.memory_profile(2).head()
+    rows.append(("memory", profile.active_backend_total_mb >= profile.active_backend_private_mb > 0))
+    return _steps(spark, rows)
+
+
+_MAY = {"null": (), "read": ("read", "traverse"), "write": ("read", "traverse", "write"), "build": ("read", "traverse", "build"), "admin": ("read", "traverse", "write", "build", "alter")}
+ACCESS_SQL = _values(
+    *((f"{privilege} {name}", "no error" if name in may else "PG002 42501") for privilege, may in _MAY.items() for name in ("read", "traverse", "write", "build", "alter")),
+    ("nodes", "PG007 54000"), ("soft", "no error"), ("memory", "true"),
+)
+
+
 def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each way to build, load, unload and maintain a graph of regions and nations."""
     s = _geo(_new(spark, sf_dir, "region", "nation"))
@@ -499,7 +531,7 @@ MORE: list[tuple[str, Query, str | None]] = [
     *((name, _pattern(kind, query, params, after), sql) for name, kind, query, params, after, sql in MORE_PATTERNS),
     ("explained", explained, EXPLAINED_SQL), ("traverse_least_paths", traverse_least_paths, LEAST_PATHS_SQL),
     ("traverse_pages", traverse_pages, f"SELECT '1' AS root_id, depth, node_table, node_id FROM ({_REACH}) ORDER BY depth, node_table, node_id LIMIT 10 OFFSET 10"), ("traverse_tenants", traverse_tenants, TENANTS_SQL),
-    ("registration", registration, REGISTRATION_SQL), ("named_graphs", named_graphs, GRAPHS_SQL), ("builds", builds, BUILDS_SQL), ("synced", synced, SYNCED_SQL), ("generations", generations, GENERATIONS_SQL), ("jobs", jobs, JOBS_SQL),
+    ("registration", registration, REGISTRATION_SQL), ("named_graphs", named_graphs, GRAPHS_SQL), ("access", access, ACCESS_SQL), ("builds", builds, BUILDS_SQL), ("synced", synced, SYNCED_SQL), ("generations", generations, GENERATIONS_SQL), ("jobs", jobs, JOBS_SQL),
     ("edge_writes", edge_writes, EDGE_WRITES_SQL), ("write_guards", write_guards, _values(("key exists", "PG017 22000"), ("more than one", "PG017 22000"), ("unknown property", "PG015 22023"), ("overlay", "true 1"))),
 ]
 

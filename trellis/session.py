@@ -205,12 +205,20 @@ class Session(Admin):
 
     def _build(self, g: GraphEntry, save: bool = False) -> GraphEntry:
         self.check_enabled()
+        self.require(g, "build")
         began = time.time()
         if g.graph is not None:
             g.graph.unpersist()
         made = build(g.catalog, self.sources)
         made.nodes, made.edges = made.nodes.persist(), made.edges.persist()
         g.node_count, g.edge_count = made.nodes.count(), made.edges.count()
+        try:
+            self.check_quotas(g)
+        except GraphError:
+            made.unpersist()
+            g.node_count = g.edge_count = 0
+            g.graph = None
+            raise
         labels = [r.type for r in made.edges.select("type").distinct().limit(256).collect()]
         if len(labels) > 254:
             raise GraphError("edge_type_limit", "more than 254 edge labels")
@@ -223,6 +231,7 @@ class Session(Admin):
         """The current topology, after pending changes as the freshness setting says."""
         self.check_enabled()
         g = self.current
+        self.require(g, "read")
         if g.graph is None:
             raise GraphError("not_built", "the graph is not built")
         if self.pending_rows(g):
@@ -248,6 +257,7 @@ class Session(Admin):
 
     def _found(self, key: str, value: str, table: str | None, mode: str | None, case_sensitive: bool | None, max_rows: int | None, row_offset: int, tenant: str | None) -> DataFrame:
         self.check_enabled()
+        self.require(self.current, "read")
         mode = mode or self.settings.default_search_mode
         sensitive = self.settings.default_case_sensitive if case_sensitive is None else case_sensitive
         out = srch.search(self.current.catalog, self.sources, key, value, table, mode, sensitive, tenant or self.settings.tenant)
@@ -524,6 +534,7 @@ class Session(Admin):
     def gql_df(self, query: str, params: dict | str | None = None, hydrate: bool = True) -> DataFrame:
         """The rows of a statement as typed columns."""
         statement = parse(query)
+        self.require(self.current, "write" if isinstance(statement, Write) else "read")
         p = self.planner(params, hydrate)
         if isinstance(statement, Write):
             return self._written(statement, p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from trellis import GraphError, Session, Settings, filters, format_path, node_ref_string
@@ -44,6 +46,62 @@ def test_cheapest_path(spark):
     assert sorted(r.node_id for r in s.traverse("nodes", "d", 1, direction="in", include_start=False, hydrate=False).collect()) == ["b", "c"]
 
 
+def ways(spark, edges, kind, both):
+    """A weighted graph of nodes 0 to 39; with text keys some ends are in a second table."""
+    s = Session(spark)
+    s.source("a", spark.range(40).selectExpr(f"cast(id as {kind}) as k"), "k")
+    s.source("b", spark.range(40, 44).selectExpr(f"cast(id as {kind}) as k"), "k")
+    s.source("e", spark.createDataFrame(edges, "x int, y int, w int").selectExpr(f"cast(x as {kind}) as x", f"cast(y as {kind}) as y", "w"), (), [("x", "a", "k")])
+    s.add_table("a", "k"), s.add_table("b", "k")
+    s.add_edge("e", "x", "a", "y", "way", both, "w")
+    s.build()
+    return s
+
+
+@pytest.mark.parametrize(("kind", "both", "n", "small"), [("int", False, 40, None), ("bigint", True, 40, 5), ("string", False, 44, None), ("string", True, 44, 5)])
+def test_cheapest_path_against_brute_force(spark, monkeypatch, kind, both, n, small):
+    from trellis.operators import paths
+
+    if small:
+        monkeypatch.setattr(paths, "SMALL", small)
+    rng = random.Random(n + both)
+    edges = [(rng.randrange(n), rng.randrange(n), rng.randrange(1, 30)) for _ in range(70)]
+    steps = edges + [(y, x, w) for x, y, w in edges if both]
+    s = ways(spark, edges, kind, both)
+    assert (s.graph().parts is None) == (n > 40)
+    table = lambda k: "a" if k < 40 else "b"
+    for x, y in [(0, 1), (2, 39), (5, 5), (7, 31)]:
+        cost = {x: 0}
+        for _ in range(n):
+            for p, q, w in steps:
+                if p in cost and cost[p] + w < cost.get(q, 10**9):
+                    cost[q] = cost[p] + w
+        found = s.weighted_shortest_path(table(x), str(x), table(y), str(y)).collect()
+        assert [r.total_cost for r in found[-1:]] == [cost[k] for k in (y,) if k in cost]
+        nodes = [int(r.node_id) for r in found]
+        assert nodes[:1] + nodes[-1:] == [x, y] * (y in cost)
+        assert all((p, q, r.edge_weight) in steps for p, q, r in zip(nodes, nodes[1:], found[1:], strict=False))
+
+
+def test_cheapest_path_reaches_little_from_both_ends(spark, monkeypatch):
+    """A tree of 1,093 nodes below the start, all nearer than the target, is not searched."""
+    from trellis.operators import paths
+
+    sides = []
+    begin = paths.Side.__init__
+    monkeypatch.setattr(paths.Side, "__init__", lambda self, *a: (begin(self, *a), sides.append(self))[0])
+    s = Session(spark)
+    s.source("n", spark.range(2000).selectExpr("id as k"), "k")
+    tree = [((i - 1) // 3, i, 1) for i in range(1, 1093)]
+    s.source("e", spark.createDataFrame([*tree, (0, 1500, 20), (1500, 1501, 20)], "x long, y long, w int"), (), [("x", "n", "k"), ("y", "n", "k")])
+    s.add_table("n", "k")
+    s.add_edge("e", "x", "n", "y", "way", False, "w")
+    s.build()
+    assert "Join" not in s.graph().edges._jdf.queryExecution().analyzed().toString()
+    assert [r.total_cost for r in s.weighted_shortest_path("n", "0", "n", "1501").collect()] == [0, 20, 40]
+    assert sum(len(x.known) for x in sides) < 20
+
+
 def test_aggregates(spark):
     two = [{"function": "sum", "table": "users", "column": "age", "alias": "s"}, {"function": "avg", "table": "users", "column": "age", "alias": "a"}, {"function": "count", "table": "users", "column": "id", "alias": "n"}]
     s = friends(spark)

@@ -57,7 +57,7 @@ class GraphEntry:
     catalog: Catalog = field(default_factory=Catalog)
     graph: Graph | None = None
     components: DataFrame | None = None
-    cheapest: tuple[DataFrame, int] | None = None
+    cheapest: tuple[list, int] | None = None
     edge_types: list[str] = field(default_factory=list)
     node_count: int = 0
     edge_count: int = 0

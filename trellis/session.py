@@ -36,6 +36,8 @@ TRAVERSE = "root_table string, root_id string, node_table string, node_id string
 
 #: Rows of a page that may come to the driver.
 PAGE = 2_000
+#: Edges that are cached though they come from their sources without a join.
+CACHED = 20_000_000
 
 
 def _first(rows: DataFrame, n: int | None) -> DataFrame:
@@ -210,8 +212,12 @@ class Session(Admin):
         if g.graph is not None:
             g.graph.unpersist()
         made = build(g.catalog, self.sources)
-        made.nodes, made.edges = made.nodes.persist(), made.edges.persist()
+        made.nodes = made.nodes.persist()
+        if made.parts is None:
+            made.edges = made.edges.persist()
         g.node_count, g.edge_count = made.nodes.count(), made.edges.count()
+        if g.edge_count <= CACHED:
+            made.edges = made.edges.persist()
         try:
             self.check_quotas(g)
         except GraphError:
@@ -403,17 +409,17 @@ class Session(Admin):
         return out.select("step", "node_table", "node_id", "edge_label", "node", F.col("node_table").alias("node_table_name"))
 
     def weighted_shortest_path(self, source_table: str, source_id: str, target_table: str, target_id: str) -> DataFrame:
-        roots = self._roots([(source_table, source_id)])
-        self._roots([(target_table, target_id)])
+        self._roots([(source_table, source_id), (target_table, target_id)])
         g = self.graph()
         rows: list[tuple] = []
         if self.current.pending_edges:
             raise GraphError("unsupported_operation", "weighted paths need a graph without pending edge changes")
         if g.weighted:
             if self.current.cheapest is None:
-                self.current.cheapest = pth.cheapest_steps(self._steps("out", None, [], None))
+                scoped = self.settings.tenant is not None and any(t.tenant_column for t in self.current.catalog.tables.values())
+                self.current.cheapest = pth.weighted_steps(self._steps("out", None, [], None), None if scoped else g.parts)
             total = 0
-            for k, (t, i, e, w) in enumerate(pth.cheapest_path(roots, *self.current.cheapest, (target_table, str(target_id)))):
+            for k, (t, i, e, w) in enumerate(pth.cheapest_path((source_table, str(source_id)), (target_table, str(target_id)), *self.current.cheapest)):
                 total += w
                 rows.append((k, t, t, i, e, w if k else None, w, total))
         return self.rows(rows, "step int, node_table string, node_table_name string, node_id string, edge_label string, edge_weight long, step_cost long, total_cost long")
